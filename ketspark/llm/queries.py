@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ketspark.llm.html_extract import op3_html_extraction
 from ketspark.llm.packing import op2_best_fit_packing
 from ketspark.llm.quality import op5_quality_rules
 from ketspark.llm.substring_dedup import op1_substring_dedup
@@ -12,6 +13,7 @@ from ketspark.llm.warc import OP10_SQL, op10_warc_revisits
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_suffix_dedup": op8_suffix_dedup,
