@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java character class of the word separators.
@@ -43,6 +43,23 @@ def as_bytes(col: str):
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+#: a key with over one in HOT_SHARE of all records is joined by broadcast; so there are fewer than that
+HOT_SHARE = 1000
+
+
+def join_spread(left: DataFrame, key: Column, right: DataFrame, n: int, salt: Column) -> DataFrame:
+    """Left join with ``right`` (key, value, rows: how many of the ``n`` rows of ``left`` have the key),
+    whose column value is added. Keys with many rows are joined by broadcast, there are under
+    HOT_SHARE of them; their rows are then spread by ``salt`` over the shuffle of the rest."""
+    many = F.col("rows") * HOT_SHARE > F.lit(n)
+    hot = right.where(many).select(F.col("key").alias("__hot"), F.col("value").alias("__hot_value"))
+    cold = right.where(~many).select(F.col("key").alias("__cold"), F.col("value").alias("__cold_value"))
+    keyed = left.withColumn("__key", key).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
+    spread = F.when(F.col("__hot").isNull() & F.col("__key").isNotNull(), F.col("__key").cast("string")).otherwise(F.concat(F.lit("-"), salt))
+    joined = keyed.withColumn("__key", spread).join(cold, F.col("__key") == F.col("__cold").cast("string"), "left")
+    return joined.withColumn("value", F.coalesce("__hot_value", "__cold_value")).drop("__key", "__hot", "__hot_value", "__cold", "__cold_value")
+
+
 class WordHashes(dict):
     """64-bit hash of a word; a bounded memo, as most words of a text are frequent ones."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ketspark.llm.decontaminate import op9_benchmark_decontamination
 from ketspark.llm.html_extract import op3_html_extraction
+from ketspark.llm.jaccard_join import op6_ngram_jaccard_join
 from ketspark.llm.packing import op2_best_fit_packing
 from ketspark.llm.quality import op5_quality_rules
 from ketspark.llm.substring_dedup import op1_substring_dedup
@@ -15,8 +17,10 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_extraction": op3_html_extraction,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_revisits": op10_warc_revisits,
 }
 

@@ -18,25 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import new_path, stored
+from ketspark.llm.common import join_spread, new_path, stored
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: a digest with over one in HOT_SHARE of all records is joined by broadcast; so there are fewer than that
-HOT_SHARE = 1000
-
-
-def join_spread(left: DataFrame, key: Column, right: DataFrame, n: int) -> DataFrame:
-    """Left join with ``right`` (key, value, rows: how many of the ``n`` rows of ``left`` have the key),
-    whose column value is added. Keys with many rows are joined by broadcast, there are under
-    HOT_SHARE of them; their rows are then spread over the shuffle of the rest."""
-    many = F.col("rows") * HOT_SHARE > F.lit(n)
-    hot = right.where(many).select(F.col("key").alias("__hot"), F.col("value").alias("__hot_value"))
-    cold = right.where(~many).select(F.col("key").alias("__cold"), F.col("value").alias("__cold_value"))
-    keyed = left.withColumn("__key", key).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")
-    spread = F.when(F.col("__hot").isNull() & F.col("__key").isNotNull(), F.col("__key")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "uri")))
-    joined = keyed.withColumn("__key", spread).join(cold, F.col("__key") == F.col("__cold"), "left")
-    return joined.withColumn("value", F.coalesce("__hot_value", "__cold_value")).drop("__key", "__hot", "__hot_value", "__cold", "__cold_value")
 
 
 def with_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -46,7 +31,7 @@ def with_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     headers = own.where((F.col("payload_bytes") >= min_bytes) & F.col("id").isNotNull())
     first = headers.groupBy(F.col("payload_digest").alias("key")).agg(F.min("id").alias("value"), F.count("*").alias("rows")).where("rows > 1")
     key = F.when((F.col("payload_bytes") >= min_bytes) & F.col("id").isNotNull(), F.col("payload_digest"))
-    found = join_spread(own, key, first, records.count())
+    found = join_spread(own, key, first, records.count(), F.xxhash64("id", "uri"))
     return found.withColumn("refers_to", F.when(F.col("value") != F.col("id"), F.col("value"))).drop("value")
 
 
@@ -128,7 +113,7 @@ def resolved(records: DataFrame) -> DataFrame:
     given = records.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("__digest")).agg(F.max("payload_bytes").alias("value"))
     right = wanted.join(given, F.col("key") == F.col("__digest")).select("key", "value", "rows")
     key = F.when(F.col("record_type") == "revisit", F.col("payload_digest"))
-    return join_spread(records, key, right, records.count()).withColumn("payload_bytes", F.coalesce("payload_bytes", "value")).drop("value")
+    return join_spread(records, key, right, records.count(), F.xxhash64("id", "uri")).withColumn("payload_bytes", F.coalesce("payload_bytes", "value")).drop("value")
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
