@@ -45,7 +45,7 @@ class Encoder:
             split = [t.split() for t in texts[at : at + self.BLOCK]]
             if len(self.known) > self.MEMO:
                 self.known.clear()
-            new = list(set().union(*split) - self.known.keys())
+            new = [w for w in set().union(*split) if w not in self.known]
             for lo in range(0, len(new), 10_000):
                 part = new[lo : lo + 10_000]
                 for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
