@@ -119,7 +119,7 @@ def with_distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 def nearest(rows: DataFrame) -> DataFrame:
     """The SHARE of each group's rows with the smallest d2."""
     limits = rows.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
-    return rows.join(limits, "g").where("d2 <= limit")
+    return rows.join(stored(limits, "limits"), "g").where("d2 <= limit")
 
 
 def fit(rows: DataFrame) -> DataFrame:
