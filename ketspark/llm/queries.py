@@ -11,11 +11,13 @@ from ketspark.llm.substring_dedup import op1_substring_dedup
 from ketspark.llm.suffix_dedup import op8_suffix_dedup
 from ketspark.llm.tokens import op7_token_files
 from ketspark.llm.warc import OP10_SQL, op10_warc_revisits
+from ketspark.llm.suffix_tree_lm import op4_lm_scoring
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_extraction": op3_html_extraction,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_token_files": op7_token_files,
