@@ -147,11 +147,10 @@ def verdict(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text, lang, source, ...) that the rules keep, columns unchanged."""
-    own = statistics(docs.select("text", "lang", "source")).select(group_key("lang", "source").alias("g"), "stats.*")
-    fitted = fit(stored(own.where("not base_failed"), "statistics"))
     whole = F.struct(*docs.columns).alias("__row")
-    rows = statistics(docs.select(whole, F.col("text"), F.col("lang"), F.col("source"))).select("__row", group_key("lang", "source").alias("g"), "stats.*")
-    return verdict(rows, fitted).where("kept").select("__row.*")
+    own = statistics(docs.select(whole, "text", "lang", "source")).select("__row", group_key("lang", "source").alias("g"), "stats.*")
+    rows = stored(own, "statistics")  # the filter below would otherwise repeat the statistics' expressions
+    return verdict(rows, fit(rows.where("not base_failed"))).where("kept").select("__row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
