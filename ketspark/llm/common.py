@@ -38,6 +38,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows; else the join is left to a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def as_bytes(col: str):
     """UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -278,12 +278,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     for index in item_blocks(benchmark, "item_id", "text"):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.arrow_udf("boolean")
-        def leaks(text: pa.Array, sent=sent) -> pa.Array:
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
-            return pa.array([bool(matcher.leaks(t.as_py(), threshold, least)) for t in text], pa.bool_())
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.leaks((t.as_py() or "").encode(), threshold, least) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.where(~leaks(as_bytes(text_col)))
+        docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 

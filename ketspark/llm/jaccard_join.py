@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, stored
+from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,8 +34,6 @@ ALIKE = 0.55
 LEAF = 200
 BLOCK = 500
 LEVELS = 3
-#: rows of a table that may be broadcast; above it the same join is done by shuffle
-BROADCAST_ROWS = 500_000
 
 
 def shingle_set(data: bytes, hashes: WordHashes) -> np.ndarray:
@@ -46,10 +44,6 @@ def coefficients(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 32, (n, 2), np.uint32) | np.uint32(1)
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def signatures(docs: DataFrame, runs: int) -> DataFrame:
     """(id, n, sketch, keys) of every text that has shingles."""
 
