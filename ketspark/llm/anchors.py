@@ -31,6 +31,8 @@ HOT = 256
 #: Bound of one filter, in bits (32 MB): what is broadcast does not grow with the corpus.
 MAX_BITS = 1 << 28
 SLICES = 64
+#: bytes of rows that a task gathers before it passes them on
+OUT_BYTES = 4 << 20
 
 #: a text's bytes -> its units as 64-bit integers, and a function that gives the bytes of units a..b
 Units = Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]]
@@ -78,7 +80,7 @@ def repeated_anchors(docs: DataFrame, units: Units, length: int, k: int) -> Data
 
 
 class Filter:
-    """Bloom filter over anchors, cut into slices by the anchor's top bits."""
+    """Bloom filter over anchors, cut into slices by the anchor's low bits (anchors are minima: their top bits are uneven)."""
 
     def __init__(self, slice_bits: int, slices: dict[int, bytes]):
         self.slice_bits = slice_bits
@@ -87,7 +89,7 @@ class Filter:
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h), bool)
-        base = (h >> np.uint64(58)).astype(np.int64) * self.slice_bits
+        base = (h & np.uint64(SLICES - 1)).astype(np.int64) * self.slice_bits
         for at in probes(h, self.slice_bits):
             p = base + at
             ok &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
@@ -109,7 +111,7 @@ def make_filter(anchors: DataFrame, n: int) -> Filter:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column("h").to_numpy().view(np.uint64)
-            at = h >> np.uint64(58)
+            at = h & np.uint64(SLICES - 1)
             for i in np.unique(at).tolist():
                 bits = own.setdefault(i, np.zeros(slice_bits // 8, np.uint8))
                 for p in probes(h[at == i], slice_bits):
@@ -117,7 +119,7 @@ def make_filter(anchors: DataFrame, n: int) -> Filter:
         for i, bits in own.items():
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
 
-    sliced = anchors.select("h").repartition(SLICES, F.shiftrightunsigned("h", 58))
+    sliced = anchors.select("h").repartition(SLICES, F.col("h").bitwiseAND(SLICES - 1))
     rows = sliced.mapInArrow(build, "slice int, bits binary").collect()  # at most MAX_BITS / 8 bytes
     return Filter(slice_bits, {r[0]: bytes(r[1]) for r in rows})
 
@@ -144,7 +146,11 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
         local: dict[bytes, list] = {}  # window of a hot anchor -> key, first place, anchor, its bytes, more than one place
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held > OUT_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
                 own, part = units(data.as_py())
                 h, at, first, last = anchor_runs(own, length, k)
                 keep = any_.holds(h)
@@ -154,7 +160,9 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
                 gone = []
                 for key, p, a, b, many in zip(h.view(np.int64).tolist(), at.tolist(), first.tolist(), last.tolist(), often.holds(h).tolist(), strict=True):
                     if not many:
-                        rows.append((key, id_, a, b, p - a, part(a, b + length)))
+                        segment = part(a, b + length)
+                        rows.append((key, id_, a, b, p - a, segment))
+                        held += len(segment) + 100
                         continue
                     for s in range(a, b + 1):
                         window = part(s, s + length)
