@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketspark.llm.common import as_bytes, stored
-from ketspark.llm.tokens import Encoder, default_tokenizer
+from ketspark.llm.tokens import default_tokenizer, encoder_of
 
 #: pieces that are ranked together at most, about
 RANKED = 50_000
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """(doc_id, piece, start, length, ids_crc32) for every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):

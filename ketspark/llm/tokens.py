@@ -9,11 +9,12 @@ integers. Ids are dictionary encoded, delta encoded beyond that; row groups and
 target sizes and page indexes, so that a range of documents, or the columns without ids, are read alone.
 
 Nulls: a null text is empty and holds the end id only; documents with a null id come first. Equal ids
-are ordered by their texts.
+are ordered by a hash of their texts.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,12 @@ class Encoder:
                 yield b"".join(map(known, words))
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: loading it takes about a second."""
+    return Encoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -65,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     """Encode every text, append ``end_id``, and write the files described above."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, end = Encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        encoder, start, end = encoder_of(tokenizer), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -77,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                 yield pa.record_batch([part.column(0), pa.array(n.astype(np.int32)), pa.array(start + ends - n), lists], ["doc_id", "n_tokens", "file_start", "ids"])
                 start += int(ends[-1])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).orderBy("doc_id", "data")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).orderBy("doc_id", F.xxhash64("data"))
     files = ordered.mapInArrow(encode, "doc_id long, n_tokens int, file_start long, ids array<int>").write
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000}
     files.options(**options).parquet(path)
