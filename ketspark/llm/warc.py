@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ketspark.llm.common import join_spread, new_path, stored
 
 CRLF = "\r\n"
+#: repeated digests that may be broadcast; more are joined by shuffle
+BROADCAST_DIGESTS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -31,7 +33,10 @@ def with_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     headers = own.where((F.col("payload_bytes") >= min_bytes) & F.col("id").isNotNull())
     first = headers.groupBy(F.col("payload_digest").alias("key")).agg(F.min("id").alias("value"), F.count("*").alias("rows")).where("rows > 1")
     key = F.when((F.col("payload_bytes") >= min_bytes) & F.col("id").isNotNull(), F.col("payload_digest"))
-    found = join_spread(own, key, first, records.count(), F.xxhash64("id", "uri"))
+    if first.count() <= BROADCAST_DIGESTS:  # payloads stay where they are
+        found = own.withColumn("__key", key).join(F.broadcast(first.withColumnRenamed("key", "__key").drop("rows")), "__key", "left").drop("__key")
+    else:
+        found = join_spread(own, key, first, records.count(), F.xxhash64("id", "uri"))
     return found.withColumn("refers_to", F.when(F.col("value") != F.col("id"), F.col("value"))).drop("value")
 
 
@@ -60,10 +65,9 @@ def record_text() -> Column:
 
 def write_archives(records: DataFrame, path: str, min_bytes: int = 100, file_mb: int = 16) -> None:
     """Deduplicated archives of about ``file_mb`` each."""
-    total = records.agg(F.sum(F.octet_length("payload") + 500)).first()[0] or 0
-    n = max(1, -(-total // (file_mb << 20)))
-    lines = with_revisits(records, min_bytes).repartition(n, F.xxhash64("id", "uri")).select(record_text().alias("value"))
-    lines.write.option("lineSep", 2 * CRLF).text(path)
+    mean = records.agg(F.avg(F.coalesce(F.octet_length("payload"), F.lit(0)) + 500)).first()[0] or 1
+    lines = with_revisits(records, min_bytes).select(record_text().alias("value"))
+    lines.write.option("lineSep", 2 * CRLF).option("maxRecordsPerFile", max(1, int((file_mb << 20) / mean))).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
