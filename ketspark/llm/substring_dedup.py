@@ -168,3 +168,14 @@ def match_reference(docs: DataFrame, reference: list[str], min_words: int = 20,
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 18)) as s, w from d where len(w) >= 20),
+r as (select doc_id, s, row_number() over (partition by w[s:s + 19] order by doc_id, s) as place from s),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from r where place > 1),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
