@@ -228,7 +228,7 @@ sql("fidelity_estimate", f"with e as (select p_partkey, 1 - power(1 - 1e-3, p_si
 sql("layout_topk", "select s_suppkey as qubit, abs(s_acctbal) / 100000 as error from supplier order by 2, 1 limit 5")
 sql("zne_mitigate", f"""
 with t as (select l_partkey, 1 - avg(l_discount) as result from lineitem group by 1), e as (select avg(1 - result) as e from t)
-select l_partkey, {r('result')} as result, {r('greatest(0, least(1, result / (1 - e)))')} as mitigated from t, e""")
+select l_partkey, {r('result', 9)} as result, {r('greatest(0, least(1, result / (1 - e)))', 9)} as mitigated from t, e""")
 sql("accuracy_degradation", f"select l_suppkey, {r('greatest(0, (1 - avg(l_tax)) * (1 - 30 * 0.01))')} as degraded from lineitem group by 1")
 sql("noise_damping", f"with {VECTORS} select vec_id, {each('{c} / ' + _norm, XS)} from v")
 sql("privacy_loss", f"select user_id, {r('0.5 * sqrt(count(*))')} as loss from events group by 1")

@@ -619,7 +619,7 @@ def layout_topk(spark, d):
 @query
 def zne_mitigate(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_partkey").agg((1 - F.avg("l_discount")).alias("result"))
-    return rounded(resources.ErrorMitigation("result").fit_transform(rows), "result", "mitigated")
+    return rounded(resources.ErrorMitigation("result").fit_transform(rows), "result", "mitigated", n=9)
 
 
 @query
