@@ -3,9 +3,9 @@
 Equal texts are one set, held by the smallest id. Each run keeps, of a set x, the shingles whose
 hash falls under 1/(0.8 |x|): about 1.25 of them, and a similar set keeps one of the same with
 probability over 0.63. Sets that keep the same shingle meet in a bucket; ``runs`` independent runs
-bring the recall to ``recall``. Buckets over ``LEAF`` are split again on sampled coordinates
-of a minhash sketch, three a level; what still is large after ``LEVELS`` is dense and is compared
-block by block, so that nothing is capped. Leaves are compared by brute force on sketches, with slack;
+bring the recall to ``recall``. Buckets over ``LEAF`` that are not dense (see ``dense_links``) are split
+again on sampled coordinates of a minhash sketch, three a level; what still is large after ``LEVELS`` is
+compared block by block, so that nothing is capped. Leaves are compared by brute force on sketches, with slack;
 a leaf emits links that join its sets, not all pairs. The joined sets are then verified on the whole texts:
 every pair inside a group is compared by exact intersections, counted, and never emitted.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ ALIKE = 0.55
 LEAF = 200
 BLOCK = 500
 LEVELS = 3
+#: sets of a large bucket that every block of it is compared with, about
+PIVOTS = 50
 
 
 def shingle_set(data: bytes, hashes: WordHashes) -> np.ndarray:
@@ -130,28 +133,53 @@ def by_key(rows: DataFrame, judge: Callable[[list[tuple]], list[tuple]], schema:
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(walk, schema)
 
 
+def dense_links(inside: DataFrame, pairs: tuple) -> tuple[DataFrame, DataFrame]:
+    """Links in the buckets (k, count, id, n, sketch) that are dense, and the rows of all other buckets.
+
+    First each block of a bucket is linked inside itself and with a few pivots of the bucket. What is
+    connected then needs no more comparisons; if all but at most BLOCK sets of a bucket are one component,
+    those few, the minors, are compared with every block, and the bucket is done: each row went once
+    to its block, not once to every other block."""
+    own = inside.withColumn("m", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id", "k"), F.col("m")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")
+    row = ("k", "i", "id", "n", "sketch")
+    pivots = own.where(F.pmod(F.xxhash64("k", "id", F.lit("pivot")), F.col("count")) < PIVOTS).select("k", every, "id", "n", "sketch", F.col("i").alias("home")).where("i <> home").drop("home")
+    star = stored(by_key(own.select(*row).unionAll(pivots), sketch_links, "a long, b long", pairs, keys=2).distinct(), "links")
+    labelled = stored(own.join(components(star), "id", "left").withColumn("class", F.coalesce("class", "id")), "labelled")
+    parts = labelled.groupBy("k", "class").agg(F.count("*").alias("size"), F.first("count").alias("count"))
+    major = parts.groupBy("k").agg(F.max_by("class", F.struct("size", "class")).alias("major"), (F.first("count") - F.max("size")).alias("n_minor")).where(F.col("n_minor") <= BLOCK)
+    judged = stored(labelled.join(small(stored(major, "major")), "k", "left"), "judged")
+    dense = judged.where(F.col("major").isNotNull())
+    minors = dense.where(F.col("class") != F.col("major")).select("k", every, "id", "n", "sketch")
+    more = by_key(dense.where((F.col("class") == F.col("major")) & (F.col("n_minor") > 0)).select(*row).unionAll(minors), sketch_links, "a long, b long", pairs, keys=2)
+    return star.unionAll(more), judged.where(F.col("major").isNull()).select("k", "count", "id", "n", "sketch")
+
+
 def candidate_links(signed: DataFrame) -> DataFrame:
     """(a, b): links that join all sets which some leaf holds together and whose sketches agree."""
-    spark = signed.sparkSession
     level = signed.select(F.explode(F.array_distinct("keys")).alias("k"), "id", "n", "sketch")
-    leaves, pairs = None, (pa.int64(), pa.int64())
+    found, pairs = [], (pa.int64(), pa.int64())
     for depth in range(LEVELS):
         big = stored(level.groupBy("k").count().where(F.col("count") > LEAF), "buckets")
         some = small(big)
-        own = by_key(level.join(some, "k", "left_anti"), sketch_links, "a long, b long", pairs)
-        leaves = own if leaves is None else leaves.unionAll(own)
-        inside = level.join(some, "k")
+        found.append(by_key(level.join(some, "k", "left_anti"), sketch_links, "a long, b long", pairs))
+        inside = stored(level.join(some, "k").select("k", "count", "id", "n", "sketch"), "inside")
+        if not inside.limit(1).count():
+            break
+        links, inside = dense_links(inside, pairs)
+        found.append(links)
         if depth == LEVELS - 1:
+            # large and of many parts to the last: all blocks against each other
+            blocks = inside.withColumn("m", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+            other = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+            dealt = other.select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "n", "sketch")
+            found.append(by_key(dealt, sketch_links, "a long, b long", pairs, keys=3))
             break
         # three coordinates of the sketch, the same for all sets of a bucket
         at = lambda c: F.pmod(F.xxhash64("k", F.lit(depth), F.lit(c)), F.lit(SKETCH)).cast("int")  # noqa: E731, B023
         child = lambda c: F.xxhash64("k", F.lit(c), F.substring("sketch", at(c) + 1, F.lit(1)))  # noqa: E731, B023
         level = inside.select(F.explode(F.array_distinct(F.array(*[child(c) for c in range(3)]))).alias("k"), "id", "n", "sketch")
-    blocks = inside.withColumn("m", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    other = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = other.select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "n", "sketch")
-    dense = by_key(dealt, sketch_links, "a long, b long", pairs, keys=3)
-    return stored(leaves.unionAll(dense).distinct(), "links")
+    return stored(reduce(lambda a, b: a.unionAll(b), found).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
