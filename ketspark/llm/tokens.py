@@ -17,7 +17,9 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from ketspark.llm.common import as_bytes, new_path
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    MEMO = 400_000
+    MEMO = 600_000
     BLOCK = 256
+    CLOSING = b".,;:!?*#%&$|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,15 +49,31 @@ class Encoder:
             split = [t.split() for t in texts[at : at + self.BLOCK]]
             if len(self.known) > self.MEMO:
                 self.known.clear()
-            new = [w for w in set().union(*split) if w not in self.known]
-            for lo in range(0, len(new), 10_000):
-                part = new[lo : lo + 10_000]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
+            self.learn(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
             known = self.known.__getitem__
             for words in split:
                 yield b"".join(map(known, words))
 
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of new words. The tokenizer lowers letters and parts them from the signs that follow, so a word
+        of letters and closing signs has the ids of the lower-case letters and then those of the signs."""
+        known, parts, asked = self.known, {}, set()
+        for w in words:
+            stem = w.rstrip(self.CLOSING)
+            low = stem.lower()
+            if low == w or not stem.decode("utf-8", "replace").isalpha():
+                asked.add(w)
+            else:
+                parts[w] = low, w[len(stem) :]
+                asked.update(parts[w])
+        new = [w for w in asked if w not in known]
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                known[word] = array("I", e.ids).tobytes()
+        for w, (stem, signs) in parts.items():
+            known[w] = known[stem] + known[signs]
+
 
 @functools.cache
 def encoder_of(path: str) -> Encoder:
