@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: folders made where none is configured, by application
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ketspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = OWN[app] = OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="ketspark-")
     return found
 
 
