@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ketspark.base import Transformer, one_of
 from ketspark.functions.arrays import total
-from ketspark.operators.kernel import ry_kernel
+from ketspark.operators.kernel import MAX_MAP, feature_map, ry_kernel
 from ketspark.plans.numbering import numbered, shuffle_key
+from ketspark.plans.storage import stored
 
 
 def gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -82,30 +84,92 @@ class KernelSVC(Transformer):
 
 
 class KernelAnomalyDetector(Transformer):
-    """One-class support vector machine with the RY kernel over a bounded sample; +1 inside, -1 outside."""
+    """One-class support vector machine with the RY kernel, fitted on all rows; +1 inside, -1 outside.
 
-    def __init__(self, cols: Sequence[str], nu: float = 0.1, max_rows: int = 500):
+    In the feature map the dual weights are at most 1/(nu n) each, so w is the shortest of the weighted means of the rows.
+    It is found by adding, in turn, the mean of the nu n rows with the lowest decision (three aggregates), and taking the
+    shortest point of the hull, until the gap shows that w is within ``tol`` of the optimum. rho is the nu quantile of the
+    decision over all rows. Rows with a null are left out of the fit."""
+
+    BINS = 4096
+
+    def __init__(self, cols: Sequence[str], nu: float = 0.1, tol: float = 1e-4, max_steps: int = 500):
         super().__init__(cols)
-        self.nu, self.max_rows = nu, max_rows
+        if len(self.cols) > MAX_MAP:
+            raise ValueError(f"the feature map is planned for up to {MAX_MAP} features")
+        self.nu, self.tol, self.max_steps = nu, tol, max_steps
+
+    def _map(self) -> list[Column]:
+        norm = 2.0 ** (-len(self.cols) / 2)
+        return [f * norm for f in feature_map([F.col(c).cast("double") for c in self.cols])]
+
+    def _sums(self, rows: DataFrame, w: np.ndarray, width: int, of) -> np.ndarray:
+        """Sum over all rows of ``of(features, decisions)``, an array of ``width``; one row a partition is gathered."""
+        d = len(self.cols)
+
+        def sums(batches):
+            out = np.zeros(width)
+            for b in batches:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:d]], axis=1)
+                phi = np.ones((len(x), 1))
+                for k in range(d):
+                    own = np.stack((np.ones(len(x)), np.cos(x[:, k]), np.sin(x[:, k])), axis=1)
+                    phi = (phi[:, :, None] * own[:, None, :]).reshape(len(x), -1)
+                phi *= 2.0 ** (-d / 2)
+                out += of(phi, phi @ w)
+            yield pa.record_batch([pa.array([out.tolist()])], ["v"])
+
+        return sum((np.array(r[0]) for r in rows.mapInArrow(sums, "v array<double>").toLocalIterator()), np.zeros(width))
+
+    def _tail(self, rows: DataFrame, w: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """The nu quantile of the decision, and the mean of the nu n rows with the lowest (of those as low as the quantile, a share)."""
+        bins, low, size, rest = self.BINS, -1e-9, 1 + 2e-9, self.nu * n
+        for _ in range(2):  # decisions are means of kernel values, from 0 to 1
+            size /= bins
+            cell = lambda f, low=low, size=size: np.floor((f - low) / size).astype(np.int64)
+
+            def histogram(phi, f, cell=cell):
+                at = cell(f)
+                return np.bincount(at[(at >= 0) & (at < bins)], minlength=bins)
+
+            below = np.concatenate(([0.0], np.cumsum(self._sums(rows, w, bins, histogram))))
+            at = int(np.clip(np.searchsorted(below, rest, "left") - 1, 0, bins - 1))
+            rest, low = rest - below[at], low + at * size
+        m = len(w)
+
+        def moments(phi, f):
+            under, equal = f < low, (f >= low) & (f < low + size)
+            return np.concatenate((phi[under].sum(axis=0), phi[equal].sum(axis=0), [under.sum(), equal.sum()]))
+
+        s = self._sums(rows, w, 2 * m + 2, moments)
+        share = min(1.0, max(0.0, (self.nu * n - s[-2]) / max(1.0, s[-1])))
+        return low, (s[:m] + share * s[m : 2 * m]) / (s[-2] + share * s[-1])
 
     def fit(self, df):
-        x = bounded_sample(df, self.cols, self.max_rows)
-        n = len(x)
-        k, upper = gram(x, x), 1 / (self.nu * n)
-        a = np.zeros(n)
-        full = int(self.nu * n)
-        a[:full] = upper
-        if full < n:
-            a[full] = 1 - full * upper
-        a = solve_box(k, np.zeros(n), upper, np.ones(n), a)
-        free = (a > 1e-10) & (a < upper - 1e-10)
-        f = k @ a
-        self.params = {"rho": float(np.mean(f[free] if free.any() else f[a > 1e-10])), "x": x[a > 1e-10], "w": a[a > 1e-10]}
-        return self
+        rows = stored(df.select(*[F.col(c).cast("double").alias(c) for c in self.cols]).dropna(), "anomaly")
+        n = rows.count()
+        if not n:
+            raise ValueError("no rows to fit")
+        m = 3 ** len(self.cols)
+        w = self._sums(rows, np.zeros(m), m, lambda phi, f: phi.sum(axis=0)) / n
+        points, a = w[None], np.ones(1)
+        for _ in range(self.max_steps):
+            rho, lowest = self._tail(rows, w, n)
+            if w @ w - w @ lowest <= self.tol * (w @ w):
+                self.params = {"rho": rho, "w": w}
+                return self
+            points, a = np.vstack((points, lowest)), np.append(a, 0.0)
+            g = points @ points.T
+            a = solve_box(g, np.zeros(len(a)), 1.0, np.ones(len(a)), a)
+            w = a @ points
+            points, a = points[a > 1e-12], a[a > 1e-12]
+            w, a = w / a.sum(), a / a.sum()
+        raise RuntimeError(f"not within {self.tol} of the optimum after {self.max_steps} steps")
 
     def transform(self, df):
         p = self.fitted()
-        return df.withColumn("decision", kernel_sum(self.cols, p["x"], p["w"]) - p["rho"]).withColumn("prediction", F.when(F.col("decision") >= 0, 1).otherwise(-1))
+        decision = sum((f * float(v) for f, v in zip(self._map(), p["w"], strict=True)), F.lit(0.0)) - p["rho"]
+        return df.withColumn("decision", decision).withColumn("prediction", F.when(F.col("decision") >= 0, 1).otherwise(-1))
 
 
 class Autoencoder(Transformer):

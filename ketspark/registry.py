@@ -441,7 +441,7 @@ def kernel_svc(spark, d):
 
 @query
 def kernel_anomaly(spark, d):
-    return models.KernelAnomalyDetector(X, max_rows=200).fit_transform(vectors(spark, d)).select("vec_id", "prediction")
+    return models.KernelAnomalyDetector(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction")
 
 
 # J: models
