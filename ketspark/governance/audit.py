@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,20 +58,24 @@ def owners(datasets: DataFrame, owner: Column, dataset: str) -> DataFrame:
     return datasets.groupBy(owner.alias("owner")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(dataset).cast("string"))), ",").alias("datasets"))
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 50) -> DataFrame:
-    """(dataset, ancestor, depth): all ancestors with the shortest distance; a level a step until none is new."""
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """(dataset, ancestor, depth): all ancestors with the shortest distance; a level a step until none is new.
+    Raises an error if there are any beyond a caller's ``max_depth``."""
     from ketspark.plans.storage import stored
 
     step = edges.select(F.col(child).alias("dataset"), F.col(parent).alias("ancestor")).where("dataset is not null and ancestor is not null").distinct()
     found = front = stored(step.withColumn("depth", F.lit(1).cast("long")), "closure")
-    for d in range(2, max_depth + 1):
+    for d in itertools.count(2):
         up = step.select(F.col("dataset").alias("ancestor"), F.col("ancestor").alias("__next"))
         new = front.join(up, "ancestor").select("dataset", F.col("__next").alias("ancestor")).distinct()
         front = stored(new.join(found, ["dataset", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "closure")
         if not front.limit(1).count():
-            break
+            return found
+        if max_depth is not None and d > max_depth:
+            raise ValueError(f"there are ancestors beyond max_depth = {max_depth}")
         found = found.unionByName(front)
-    return found
+        if d % 20 == 0:  # else the plan grows with the depth
+            found = stored(found, "closure")
 
 
 class AccessControl:
