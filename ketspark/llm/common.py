@@ -6,10 +6,16 @@ Words everywhere are maximal runs of characters other than space and U+0009..U+0
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +75,35 @@ def join_spread(left: DataFrame, key: Column, right: DataFrame, n: int, salt: Co
     return joined.withColumn("value", F.coalesce("__hot_value", "__cold_value")).drop("__key", "__hot", "__hot_value", "__cold", "__cold_value")
 
 
+#: rows and bytes of texts that a worker has in hand at a time; a longer text comes alone
+PORTION_ROWS, PORTION_BYTES = 1000, 4 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and bytes by the binary or string column ``col``; none is empty."""
+    for batch in batches:
+        size = np.cumsum(pa.compute.binary_length(batch.column(col)).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else ()
+        lo = 0
+        while lo < batch.num_rows:
+            done = size[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + PORTION_ROWS, int(np.searchsorted(size, done + PORTION_BYTES, "right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back at the end of a task: workers live on between the stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word; a bounded memo, as most words of a text are frequent ones."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -93,12 +124,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: base of the rolling hash and its inverse modulo 2^64, and their powers for a stretch of units
+BASE = 0x9E3779B97F4A7C15
+STRETCH = 1 << 16
+POWERS = np.cumprod(np.array([1] + [BASE] * (STRETCH + 4096), np.uint64))
+INVERSES = np.cumprod(np.array([1] + [pow(BASE, -1, 1 << 64)] * STRETCH, np.uint64))
+
+
 def grams(units: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` units (words or bytes)."""
+    """Rolling hash of every run of ``k`` units (words or bytes; ``k`` is 4096 at most)."""
     n = len(units) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + units[j : j + n]
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, STRETCH):
+        part = units[lo : lo + STRETCH + k - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * POWERS[: len(part)], out=sums[1:])
+        m = len(part) - k + 1
+        out[lo : lo + m] = (sums[k:] - sums[:m]) * INVERSES[:m]
     return mix(out)

@@ -2,15 +2,18 @@
 
 Equal texts are one set, held by the smallest id. Each run keeps, of a set x, the shingles whose
 hash falls under 1/(0.8 |x|): about 1.25 of them, and a similar set keeps one of the same with
-probability over 0.63. Sets that keep the same shingle meet in a bucket; ``runs`` independent runs
-bring the recall to ``recall``. Buckets over ``LEAF`` that are not dense (see ``dense_links``) are split
-again on sampled coordinates of a minhash sketch, three a level; what still is large after ``LEVELS`` is
-compared block by block, so that nothing is capped. Leaves are compared by brute force on sketches, with slack;
-a leaf emits links that join its sets, not all pairs. The joined sets are then verified on the whole texts:
-every pair inside a group is compared by exact intersections, counted, and never emitted.
+probability over 0.63. Sets that keep the same shingle meet in a bucket. Buckets over ``LEAF`` that are not dense
+(see ``dense_links``) are split again by one more sampled shingle a set (a minhash coordinate that the bucket names; two sets
+sample the same with the probability of their similarity), so that no set is copied on the way down; what still is large
+after ``LEVELS`` is compared block by block, so that nothing is capped. Independent runs bring the recall of pairs at 0.8
+to ``recall`` even where all their buckets are split to the last level, and to over 0.9999 where none is.
+Leaves are compared by brute force on sketches, with slack; a leaf emits links that join its sets, not all pairs. The
+joined sets are then verified on the whole texts: every pair inside a group is compared by exact intersections,
+counted, and never emitted.
 
 Nulls: a null text is empty. Texts under 5 words have no shingles and only match equal texts. Rows with
-a null id belong to no class. Repeated rows are copies of each other.
+a null id belong to no class. Repeated rows are copies of each other; of equal texts (ties) the smallest id stands for
+all. An empty table gives no rows. Very long texts are sets like others. Other columns of ``docs`` aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, small, stored
+from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, portions, release, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,29 +55,27 @@ def signatures(docs: DataFrame, runs: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, perms = WordHashes(), coefficients(SKETCH, 6)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                sets = [shingle_set(d.as_py(), hashes) for d in part.column(1)]
-                n = np.array([len(s) for s in sets])
-                has = np.flatnonzero(n)
-                if not len(has):
-                    continue
-                h, n = np.concatenate([sets[i] for i in has]), n[has]
-                first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                low = (h >> np.uint64(16)).astype(np.uint32)
-                sketch = np.stack([np.minimum.reduceat(low * a + b, first) for a, b in perms], axis=1)
-                limit = np.repeat(np.minimum((1 << 32) / (SIMILARITY * n), (1 << 32) - 1).astype(np.uint64), n)
-                owner = np.repeat(np.arange(len(has)), n)
-                keys: list[list[int]] = [[] for _ in has]
-                for r in range(runs):
-                    u = mix(h ^ np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (2**64 - 1)))
-                    chosen = np.flatnonzero((u >> np.uint64(32)) < limit)
-                    for i, key in zip(owner[chosen].tolist(), u[chosen].view(np.int64).tolist(), strict=True):
-                        keys[i].append(key)
-                flat = (sketch & np.uint32(255)).astype(np.uint8)
-                ids = part.column(0).take(pa.array(has))
-                yield pa.record_batch([ids, pa.array(n.astype(np.int32)), pa.array([row.tobytes() for row in flat], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sketch", "keys"])
+        for part in portions(batches, 1):
+            sets = [shingle_set(d.as_py(), hashes) for d in part.column(1)]
+            n = np.array([len(s) for s in sets])
+            has = np.flatnonzero(n)
+            if not len(has):
+                continue
+            h, n = np.concatenate([sets[i] for i in has]), n[has]
+            first = np.concatenate(([0], np.cumsum(n)[:-1]))
+            low = (h >> np.uint64(16)).astype(np.uint32)
+            sketch = np.stack([np.minimum.reduceat(low * a + b, first) for a, b in perms], axis=1)
+            limit = np.repeat(np.minimum((1 << 32) / (SIMILARITY * n), (1 << 32) - 1).astype(np.uint64), n)
+            owner = np.repeat(np.arange(len(has)), n)
+            keys: list[list[int]] = [[] for _ in has]
+            for r in range(runs):
+                u = mix(h ^ np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (2**64 - 1)))
+                chosen = np.flatnonzero((u >> np.uint64(32)) < limit)
+                for i, key in zip(owner[chosen].tolist(), u[chosen].view(np.int64).tolist(), strict=True):
+                    keys[i].append(key)
+            flat = (sketch & np.uint32(255)).astype(np.uint8)
+            ids = part.column(0).take(pa.array(has))
+            yield pa.record_batch([ids, pa.array(n.astype(np.int32)), pa.array([row.tobytes() for row in flat], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sketch", "keys"])
 
     return docs.mapInArrow(sign, "id long, n int, sketch binary, keys array<long>")
 
@@ -129,6 +130,7 @@ def by_key(rows: DataFrame, judge: Callable[[list[tuple]], list[tuple]], schema:
         if len(group) > 1:
             out += judge(group)
         yield make(out)
+        release()
 
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(walk, schema)
 
@@ -175,10 +177,9 @@ def candidate_links(signed: DataFrame) -> DataFrame:
             dealt = other.select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "n", "sketch")
             found.append(by_key(dealt, sketch_links, "a long, b long", pairs, keys=3))
             break
-        # three coordinates of the sketch, the same for all sets of a bucket
-        at = lambda c: F.pmod(F.xxhash64("k", F.lit(depth), F.lit(c)), F.lit(SKETCH)).cast("int")  # noqa: E731, B023
-        child = lambda c: F.xxhash64("k", F.lit(c), F.substring("sketch", at(c) + 1, F.lit(1)))  # noqa: E731, B023
-        level = inside.select(F.explode(F.array_distinct(F.array(*[child(c) for c in range(3)]))).alias("k"), "id", "n", "sketch")
+        # one sampled shingle a set: the coordinate of the sketch is the same for all sets of a bucket
+        at = F.pmod(F.xxhash64("k", F.lit(depth)), F.lit(SKETCH)).cast("int")
+        level = inside.select(F.xxhash64("k", F.lit(depth), F.substring("sketch", at + 1, F.lit(1))).alias("k"), "id", "n", "sketch")
     return stored(reduce(lambda a, b: a.unionAll(b), found).distinct(), "links")
 
 
@@ -204,7 +205,7 @@ def components(links: DataFrame) -> DataFrame:
 def verified(group: list[tuple]) -> list[tuple]:
     """Exact links among the rows (blocks, own, i, j, id, text) of a group: (id, links, class) and, for
     groups in blocks, (member, null, representative) rows to be joined with the other blocks."""
-    hashes = verified.hashes
+    hashes = WordHashes()
     blocks, i, j = group[0][0], group[0][2], group[0][3]
     sets = [shingle_set(g[5], hashes) for g in group]
     ids, own, n = [g[4] for g in group], np.array([g[1] for g in group]), np.array([len(s) for s in sets])
@@ -231,9 +232,6 @@ def verified(group: list[tuple]) -> list[tuple]:
     return numbers + [(b, None, a) for a, b in joined]
 
 
-verified.hashes = WordHashes()
-
-
 def exact_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, links, class): links counted on whole texts inside the candidate classes (id, class)."""
     sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -245,7 +243,7 @@ def exact_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(by_key(rows, verified, "id long, links int, class long", kinds, keys=3), "verified")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.9999) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99) -> DataFrame:
     """(id_col, class_id, n_links, n_copies) for every row of ``docs``: the smallest id of its class, how
     many different texts are similar to its text, and how many rows have its text."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"))
@@ -254,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = ids.count()
     member = stored(join_spread(ids, F.when(F.col("id").isNotNull(), F.col("text_key")), copies, total, F.xxhash64("id")).select("id", "value.rep", "value.n"), "members")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - 0.63))
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - 0.63 * SIMILARITY ** (LEVELS - 1)))
     copied = member.where("id <> rep").select("id")
     signed = stored(signatures(texts, runs).join(small(copied), "id", "left_anti").dropDuplicates(["id"]), "signed")
     found = exact_links(texts.dropDuplicates(["id"]) if has_repeats(member) else texts, components(candidate_links(signed)))
