@@ -7,7 +7,9 @@ found in a segment tree over remaining capacities. The outcome is a short list o
 l, ranks a.. go to sequences s.., q to each, from offset o"); the executors rank the pieces of a
 length and read their places off the runs.
 
-Nulls: a null text is empty and becomes the end id alone. Repeated rows are packed each for itself.
+Nulls: a null text is empty and becomes the end id alone; null ids are kept. Repeated rows are packed each for
+itself; ties in length are ranked by id, piece and checksum. An empty table gives no rows. Very long texts become many
+pieces. Other columns of ``docs`` aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import as_bytes, stored
+from ketspark.llm.common import as_bytes, portions, stored
 from ketspark.llm.tokens import default_tokenizer, encoder_of
 
 #: pieces that are ranked together at most, about
@@ -100,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end

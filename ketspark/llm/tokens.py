@@ -3,23 +3,25 @@
 The tokenizer never joins characters across the word separators (see ``common``), so the ids of a text
 are the ids of its words in turn; a bounded memo holds the ids of words already seen.
 
-File format: one Parquet file a task, documents in ascending id order over the files in name order.
-Columns: doc_id; n_tokens; file_start (ids before the document in its file); ids, a list of 32-bit
-integers. Ids are dictionary encoded, delta encoded beyond that; row groups and pages have fixed
+File format: Parquet files (one a task, or more if Spark is told to split them), documents in ascending id order
+over the tasks by number, as it is in the file names. Columns: doc_id; n_tokens; task_start (ids before the document
+in the files of its task); ids, a list of 32-bit integers. Ids are dictionary encoded, delta encoded beyond that; row groups and pages have fixed
 target sizes and page indexes, so that a range of documents, or the columns without ids, are read alone.
 
-Nulls: a null text is empty and holds the end id only; documents with a null id come first. Equal ids
-are ordered by a hash of their texts.
+Nulls: a null text is empty and holds the end id only; documents with a null id come first. Equal ids (ties, repeated
+rows) are ordered by a hash of their texts. An empty table gives no rows. Very long texts are one list each, of at
+most 2^31 ids; texts go through memory some megabytes at a time. Other columns of ``docs`` aren't read.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain, filterfalse
+from collections.abc import Iterator, Sequence
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ketspark.llm.common import as_bytes, new_path
+from ketspark.llm.common import as_bytes, new_path, portions
+
+
+#: words of lower-case letters that the tokenizer leaves as they are, and then signs that it parts from them
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([.,;:!?*#%&$|]*)")
+#: the characters by which a byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100
+OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: b for b in OWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in OWN)}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    MEMO = 600_000
+    MEMO = 400_000
     BLOCK = 256
-    CLOSING = b".,;:!?*#%&$|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,33 +54,50 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), self.BLOCK):
-            split = [t.split() for t in texts[at : at + self.BLOCK]]
-            if len(self.known) > self.MEMO:
-                self.known.clear()
-            self.learn(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
-            known = self.known.__getitem__
-            for words in split:
-                yield b"".join(map(known, words))
+            split = [folded(t).split() for t in texts[at : at + self.BLOCK]]
+            words = list(chain.from_iterable(split))
+            ids = list(map(self.known.get, words))
+            new = [i for i, x in enumerate(ids) if x is None]
+            if new:
+                if len(self.known) > self.MEMO:
+                    self.known.clear()
+                self.learn({words[i] for i in new})
+                for i in new:
+                    ids[i] = self.known[words[i]]
+            lo = 0
+            for own in split:
+                yield b"".join(ids[lo : lo + len(own)])
+                lo += len(own)
 
     def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. The tokenizer lowers letters and parts them from the signs that follow, so a word
-        of letters and closing signs has the ids of the lower-case letters and then those of the signs."""
-        known, parts, asked = self.known, {}, set()
+        """Ids of new words. A plain word has the ids of its letters and then those of its signs; its letters are
+        in the tokenizer's own alphabet already and go to its model alone."""
+        known, model, others = self.known, self.tokenizer.model, []
         for w in words:
-            stem = w.rstrip(self.CLOSING)
-            low = stem.lower()
-            if low == w or not stem.decode("utf-8", "replace").isalpha():
-                asked.add(w)
-            else:
-                parts[w] = low, w[len(stem) :]
-                asked.update(parts[w])
-        new = [w for w in asked if w not in known]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
-        for w, (stem, signs) in parts.items():
-            known[w] = known[stem] + known[signs]
+            plain = PLAIN.fullmatch(w)
+            if not plain:
+                others.append(w)
+                continue
+            letters, signs = plain.groups()
+            if letters and letters not in known:
+                own = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(LETTERS)
+                known[letters] = array("I", [t.id for t in model.tokenize(own)]).tobytes()
+            if signs and signs not in known:
+                self.ask([signs])
+            if letters and signs:
+                known[w] = known[letters] + known[signs]
+        for part in batched(others, 10_000):
+            self.ask(part)
+
+    def ask(self, words: Sequence[bytes]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = array("I", e.ids).tobytes()
+
+
+def folded(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer has them; not in texts with combining marks (U+0300..U+036F),
+    which the tokenizer joins with letters before it lowers them."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 @functools.cache
@@ -92,33 +117,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, end = encoder_of(tokenizer), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
-                yield pa.record_batch([part.column(0), pa.array(n.astype(np.int32)), pa.array(start + ends - n), lists], ["doc_id", "n_tokens", "file_start", "ids"])
-                start += int(ends[-1])
-
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).orderBy("doc_id", F.xxhash64("data"))
-    files = ordered.mapInArrow(encode, "doc_id long, n_tokens int, file_start long, ids array<int>").write
-    options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000}
+        for part in portions(batches, 1):
+            ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ends = np.cumsum(n)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
+            yield pa.record_batch([part.column(0), pa.array(n.astype(np.int32)), pa.array(start + ends - n), lists], ["doc_id", "n_tokens", "task_start", "ids"])
+            start += int(ends[-1])
+
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("data"))
+    files = ordered.mapInArrow(encode, "doc_id long, n_tokens int, task_start long, ids array<int>").write
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000}
     files.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before. A filter on
     doc_id and a choice of columns reach the files."""
-    files = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
-    # one row a file comes to the driver, from the columns without ids
-    sizes = sorted(tuple(r) for r in files.groupBy("file").agg(F.sum(F.col("n_tokens").cast("long"))).collect())
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    files = spark.read.parquet(path).select("*", task.alias("task"))
+    # one row a task of the writer comes to the driver, from the columns without ids
+    sizes = sorted(tuple(r) for r in files.groupBy("task").agg(F.sum(F.col("n_tokens").cast("long"))).collect())
     before = np.concatenate(([0], np.cumsum([n for _, n in sizes])))[:-1].tolist()
-    starts = spark.createDataFrame([(f, b) for (f, _), b in zip(sizes, before, strict=True)], "file string, before long")
-    joined = files.join(F.broadcast(starts), "file")
-    return joined.select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    starts = spark.createDataFrame([(t, b) for (t, _), b in zip(sizes, before, strict=True)], "task int, before long")
+    joined = files.join(F.broadcast(starts), "task")
+    return joined.select("doc_id", (F.col("before") + F.col("task_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 @F.arrow_udf(LongType())
