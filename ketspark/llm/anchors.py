@@ -8,7 +8,8 @@ anchor form a *segment* [first start, last start + length).
 
 Plan: (1) count anchors with map-side combine; (2) put those found twice, and those found often, in
 two filters whose size has a fixed bound (false positives only cost time, because the groups
-compare real text); (3) ship the segments of repeated anchors to their groups. For anchors found
+compare real text); when there are more than ``FILTERED`` the filters would let too much through, and the documents learn by a
+shuffle on anchors instead which of theirs are repeated (``marked``); (3) ship the segments of repeated anchors to their groups. For anchors found
 more than ``HOT`` times a segment is cut into single windows, equal windows of one task are merged
 before the shuffle, and the groups are keyed by window, so that a key has at most one row a task.
 """
@@ -20,22 +21,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import grams, mix, stored
+from ketspark.llm.common import STRETCH, grams, join_spread, mix, portions, release, stored
 
 #: An anchor found more often than this is handled window by window.
 HOT = 256
 #: Bound of one filter, in bits (32 MB): what is broadcast does not grow with the corpus.
 MAX_BITS = 1 << 28
+#: most anchors that the filters hold well, at 12 bits each
+FILTERED = MAX_BITS // 12
 SLICES = 64
-#: bytes of rows that a task gathers before it passes them on
+#: bytes of rows that a task gathers before it passes them on, and windows of frequent anchors that it merges at a time
 OUT_BYTES = 4 << 20
+LOCAL = 50_000
+#: low bits of a hash that hold a place in a stretch
+PLACE = np.uint64((1 << 20) - 1)
 
-#: a text's bytes -> its units as 64-bit integers, and a function that gives the bytes of units a..b
-Units = Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]]
+#: makes for each task a function: a text's bytes -> its units as 64-bit integers, and a function that gives the bytes of units a..b
+Units = Callable[[], Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]]]
 
 
 def anchor_runs(units: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,33 +50,34 @@ def anchor_runs(units: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none, none
     g = grams(units, k)
-    pos = np.arange(n) + _leftmost_min(g, length - k + 1)
+    pos = leftmost_min(g, length - k + 1)
     first = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
     last = np.concatenate((first[1:], [n])) - 1
     at = pos[first]
     return g[at], at, first, last
 
 
-def _leftmost_min(g: np.ndarray, w: int) -> np.ndarray:
-    """Offset of the leftmost smallest value in each run of ``w`` values."""
-    if w <= 64:
-        return sliding_window_view(g, w).argmin(axis=1)
-    # doubling: smallest of runs of 1, 2, 4, ... and then of two overlapping runs
-    best, size = np.arange(len(g)), 1
-    while size * 2 <= w:
-        a, b = best[: len(best) - size], best[size:]
-        best, size = np.where(g[b] < g[a], b, a), size * 2
+def leftmost_min(g: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest hash (by its upper bits, then by place) in each run of ``w`` hashes."""
     n = len(g) - w + 1
-    a, b = best[:n], best[w - size : w - size + n]
-    return np.where(g[b] < g[a], b, a) - np.arange(n)
+    out = np.empty(n, np.int64)
+    for lo in range(0, n, STRETCH):
+        part = g[lo : lo + STRETCH + w - 1]
+        best, size = (part & ~PLACE) | np.arange(len(part), dtype=np.uint64), 1
+        while size * 2 <= w:  # smallest of runs of 2, 4, 8, ...; last of two overlapping runs
+            best, size = np.minimum(best[:-size], best[size:]), size * 2
+        m = len(part) - w + 1
+        out[lo : lo + m] = (np.minimum(best[:m], best[w - size : w - size + m]) & PLACE).astype(np.int64) + lo
+    return out
 
 
 def repeated_anchors(docs: DataFrame, units: Units, length: int, k: int) -> DataFrame:
     """(h, n): anchors found at least twice in ``docs`` (columns: id, data binary); stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [anchor_runs(units(d.as_py())[0], length, k)[0] for d in batch.column(1)]
+        own = units()
+        for batch in portions(batches, 1):
+            found = [anchor_runs(own(d.as_py())[0], length, k)[0] for d in batch.column(1)]
             h, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -124,6 +130,25 @@ def make_filter(anchors: DataFrame, n: int) -> Filter:
     return Filter(slice_bits, {r[0]: bytes(r[1]) for r in rows})
 
 
+def marked(docs: DataFrame, units: Units, length: int, k: int, found: DataFrame) -> DataFrame:
+    """``docs`` that have repeated anchors, with marks: (i, value) for each, the number of its segment and whether it is found
+    often. Anchors meet their counts in a shuffle, those with many places by broadcast."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = units()
+        for batch in portions(batches, 1):
+            hs = [anchor_runs(own(d.as_py())[0], length, k)[0] for d in batch.column(1)]
+            n = [len(h) for h in hs]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), ids, pa.array(at)], ["h", "id", "i"])
+
+    right = found.select(F.col("h").alias("key"), (F.col("n") > HOT).alias("value"), F.col("n").alias("rows"))
+    met = join_spread(docs.mapInArrow(places, "h long, id long, i int"), F.col("h"), right, found.agg(F.sum("n")).first()[0], F.xxhash64("id", "i"))
+    marks = met.where("value is not null").groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("i", "value")).alias("marks"))
+    return docs.join(marks, F.col("id") == F.col("__id")).select("id", "data", "marks")
+
+
 #: key: group; id, start: place of the first window; anchor: units from there to the anchor; data:
 #: the segment, or nothing in rows that carry a decision already made (windows start..last go).
 CANDIDATE = "key long, id long, start int, last int, anchor int, data binary"
@@ -138,27 +163,37 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
     spark = docs.sparkSession
     found = repeated_anchors(docs, units, length, k)
     n, hot = found.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
-    any_, often = make_filter(found, n), make_filter(found.where(F.col("n") > HOT), hot)
-    shared = spark.sparkContext.broadcast((any_, often))
+    shared = None
+    if n <= FILTERED:
+        shared = spark.sparkContext.broadcast((make_filter(found, n), make_filter(found.where(F.col("n") > HOT), hot)))
+    else:
+        docs = marked(docs, units, length, k, found)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        any_, often = shared.value
+        units_of = units()
         local: dict[bytes, list] = {}  # window of a hot anchor -> key, first place, anchor, its bytes, more than one place
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows: list[tuple] = []
             held = 0
-            for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            marks = batch.column(2) if shared is None else [None] * batch.num_rows
+            for id_, data, own_marks in zip(batch.column(0).to_pylist(), batch.column(1), marks, strict=True):
                 if held > OUT_BYTES:
                     yield batch_of(rows)
                     rows, held = [], 0
-                own, part = units(data.as_py())
+                own, part = units_of(data.as_py())
                 h, at, first, last = anchor_runs(own, length, k)
-                keep = any_.holds(h)
-                if not keep.any():
+                if shared is None:
+                    many = dict(zip(*(own_marks.values.field(c).to_pylist() for c in ("i", "value")), strict=True))
+                    keep = np.array([i for i in many if i < len(h)], np.int64)  # of rows with one id the longest has most
+                    often = np.array([many[i] for i in keep.tolist()], bool)
+                else:
+                    keep = np.flatnonzero(shared.value[0].holds(h))
+                    often = shared.value[1].holds(h[keep])
+                if not len(keep):
                     continue
                 h, at, first, last = h[keep], at[keep], first[keep], last[keep]
                 gone = []
-                for key, p, a, b, many in zip(h.view(np.int64).tolist(), at.tolist(), first.tolist(), last.tolist(), often.holds(h).tolist(), strict=True):
+                for key, p, a, b, many in zip(h.view(np.int64).tolist(), at.tolist(), first.tolist(), last.tolist(), often.tolist(), strict=True):
                     if not many:
                         segment = part(a, b + length)
                         rows.append((key, id_, a, b, p - a, segment))
@@ -170,15 +205,21 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
                         old = local.get(name)
                         place = (id_, s)
                         if old is None:
-                            local[name] = [key ^ int.from_bytes(name[:8], "little", signed=True), place, p - s, window if first_only else b"", False]
+                            local[name] = [key ^ int.from_bytes(name[:8], "little", signed=True), place, p - s, window, False]
                         elif old[1] != place:
                             gone.append(max(old[1], place))
                             old[1], old[4] = min(old[1], place), not first_only
                 rows += ((0, i, a, b, 0, None) for i, a, b in ranges(gone))
             yield batch_of(rows)
+            if len(local) > LOCAL:
+                yield from merged(local)
+                local.clear()
+        yield from merged(local)
+
+    def merged(local: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         rows = []
         for name, (key, (id_, s), off, window, several) in local.items():
-            rows.append((key, id_, s, s, off, window if first_only else name))
+            rows.append((key, id_, s, s, off, window))
             if several:
                 rows.append((0, id_, s, s, 0, None))
             if len(rows) >= 20_000:
@@ -212,12 +253,12 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
 
-def settled(rows: DataFrame, judge: Callable[[list[tuple]], Iterator[tuple[int, int, int]]]) -> DataFrame:
-    """(id, start, last) of the windows to remove: ``judge`` gets the rows (id, start, last, anchor,
-    data) of one key in order of place, each place once, and yields ranges."""
+def settled(rows: DataFrame, judge: Callable[[list[list[tuple]]], Iterator[tuple[int, int, int]]], gather: int = 0) -> DataFrame:
+    """(id, start, last) of the windows to remove: ``judge`` gets groups, each the rows (id, start, last, anchor,
+    data) of one key in order of place, each place once, and yields ranges; groups are handed over when they hold ``gather`` bytes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
+        key, group, groups, held, out = None, [], [], 0, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[5] is None:
@@ -225,7 +266,11 @@ def settled(rows: DataFrame, judge: Callable[[list[tuple]], Iterator[tuple[int,
                     continue
                 if row[0] != key:
                     if len(group) > 1:
-                        out += judge(group)
+                        groups.append(group)
+                        held += sum(len(r[4]) for r in group)
+                    if groups and held >= gather:
+                        out += judge(groups)
+                        groups, held = [], 0
                     key, group = row[0], []
                 if not group or group[-1] != row[1:]:
                     group.append(row[1:])
@@ -233,8 +278,10 @@ def settled(rows: DataFrame, judge: Callable[[list[tuple]], Iterator[tuple[int,
                 yield range_batch(out)
                 out = []
         if len(group) > 1:
-            out += judge(group)
+            groups.append(group)
+        out += judge(groups)
         yield range_batch(out)
+        release()
 
     # rows that are decided already travel by their document, not by a key of their own
     spread = F.when(F.col("data").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key")).alias("key")

@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share; a temporary one where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         app = spark.sparkContext.applicationId
         found = OWN[app] = OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="ketspark-")
     return found

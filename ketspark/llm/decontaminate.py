@@ -13,7 +13,9 @@ The index is broadcast in blocks of at most ``MAX_ITEM_WORDS`` words of items; a
 several passes. Documents are never shuffled.
 
 Words are compared in lower case without surrounding signs. Nulls: a null text has no passages, null
-or empty items match nothing. Repeated rows are judged each for itself; equal items are found both.
+or empty items match nothing. Repeated rows are judged each for itself; equal items (ties) are found both. Empty tables
+of either kind find nothing. Very long texts are cut into passages, all of which are asked. ``clean_documents`` keeps all
+columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import as_bytes
+from ketspark.llm.common import as_bytes, portions
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -184,7 +186,7 @@ def overlap(part: list[int], passage: list[int], held: set) -> float:
 class TermNumbers(dict):
     """Word -> term number; words of no item get the last number, lone signs -1."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
@@ -260,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
-            for batch in batches:
+            for batch in portions(batches, 1):
                 rows = []
                 for id_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     rows += ((id_, sent.value.ids[i], *v) for i, v in sorted(matcher.leaks(data.as_py(), threshold, least).items()))
@@ -280,7 +282,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
-            for batch in batches:
+            for batch in portions(batches, at):
                 yield batch.filter(pa.array([not matcher.leaks((t.as_py() or "").encode(), threshold, least) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

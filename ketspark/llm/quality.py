@@ -1,18 +1,23 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame functions.
 
-A document's statistics become a vector of ``DIMS`` transformed values. For each language and source
-the estimate starts from medians and median deviations and takes concentration steps: mean and
-covariance of the ``SHARE`` of documents that lie closest by the last estimate, until ``STEPS`` are
-done. ``FLOORS`` are added to each standard deviation, so that a statistic that hardly varies in a group
-rejects nothing by itself. Distances are scaled to their median under normality; a document is
-rejected if its squared Mahalanobis distance exceeds ``CUTOFF``. Fits are a few aggregates a group
-with map-side combine, so that a source with most documents is no special case.
+A document's statistics become a vector of ``DIMS`` transformed values. For each language and source the estimate is
+searched from several starts: the ``SHARE`` of documents that lie closest (1) by the sum and (2) by the largest of their squared
+distances from the medians in median deviations, and (3) by the Mahalanobis distance of all documents' mean and
+covariance. Concentration steps follow: mean and covariance of the ``SHARE`` closest by the last estimate. After ``FIRST`` steps
+a group goes on from the start with the smallest determinant of the covariance, until no step makes it smaller in any
+group. ``FLOORS`` are added to each standard deviation, so that a statistic that hardly varies in a group rejects nothing by
+itself. Distances are scaled to their median under normality, but never stretched (scale of at least 1), as that would undo
+the floors in tight groups. A document is rejected if its squared distance exceeds ``CUTOFF``: with normal vectors of ``DIMS``
+dimensions one in some seven million lies beyond 40, so that only gross outliers go. Steps are a few aggregates a group with
+map-side combine over narrow stored rows, so that a source with most documents is no special case.
 
 Rules that need no estimate come first: fewer than 10 words, or over 20 % of the words in repeated
 5-word windows. Documents that fail them take no part in the estimates.
 
 Nulls: a null text has no words (and fails the rules); null languages or sources are groups of their
-own. A group too small to vary keeps its documents. Repeated rows count as often as they come.
+own. A group too small to vary keeps its documents. Repeated rows count as often as they come; ties at a limit are
+on its near side. An empty table gives no rows. Very long texts are counted whole. ``kept_documents`` keeps all columns
+whatever they are called; ``statistics`` needs columns other than ``stats`` and names with two leading underscores.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ SIGNS = "!\"'()+,-./:;=?@[\\]^_`{}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIMS = 5
 SHARE = 0.75
-STEPS = 3
+FIRST = 2
+#: least fall of the log-determinant for which another step is made
+FALL = 1e-6
 #: smallest standard deviation of each statistic
 FLOORS = (0.05, 0.04, 0.05, 0.1, 0.05)
 #: median and far quantile of chi-square with DIMS degrees of freedom
@@ -96,50 +103,69 @@ def group_key(lang_col: str, source_col: str) -> Column:
     return F.to_json(F.struct(F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Mean and lower Cholesky factor of the covariance of each group."""
+def moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Mean, lower Cholesky factor of the covariance, and its log-determinant, of each group."""
     xs = [F.col(f"x{i}") for i in range(DIMS)]
     both = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[F.avg(xs[i] * xs[j]).alias(f"c{i}{j}") for i, j in both])
+    out = rows.groupBy(*by).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[F.avg(xs[i] * xs[j]).alias(f"c{i}{j}") for i, j in both])
     for i, j in both:
         inner = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))  # noqa: B023
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(inner, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else inner / F.col(f"l{j}{j}"))
-    return out.drop(*[f"c{i}{j}" for i, j in both])
+    determinant = reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(DIMS)])
+    return out.withColumn("log_det", determinant).drop(*[f"c{i}{j}" for i, j in both])
 
 
-def with_distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """``rows`` (g, x0..) with d2, the squared distance by the group's estimate; null without one."""
-    out = rows.join(fitted, "g", "left")
+def with_distance(rows: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
+    """``rows`` (by, x0..) with d2, the squared distance by the group's estimate; null without one."""
+    out = rows.join(fitted, list(by), "left")
     for i in range(DIMS):
         inner = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))  # noqa: B023
         out = out.withColumn(f"y{i}", inner / F.col(f"l{i}{i}"))
     return out.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)]))
 
 
-def nearest(rows: DataFrame) -> DataFrame:
+def nearest(rows: DataFrame, *by: str) -> DataFrame:
     """The SHARE of each group's rows with the smallest d2."""
-    limits = rows.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
-    return rows.join(stored(limits, "limits"), "g").where("d2 <= limit")
+    limits = rows.groupBy(*by).agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
+    return rows.join(stored(limits, "limits"), list(by)).where("d2 <= limit")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """``rows`` (g, x0..) once for each start s, with their distance d2 by it."""
+    xs = [f"x{i}" for i in range(DIMS)]
+    middle = stored(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in xs]), "medians")
+    spread = rows.join(middle, "g").groupBy("g").agg(*[F.first(f"m{x}").alias(f"m{x}") for x in xs], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"s{x}") for x in xs])
+    z2 = [F.pow((F.col(x) - F.col(f"m{x}")) / (1.4826 * F.col(f"s{x}") + FLOORS[i]), F.lit(2.0)) for i, x in enumerate(xs)]
+    own = with_distance(rows, stored(moments(rows, "g"), "estimate"), "g").select("g", *xs, "d2").join(stored(spread, "spreads"), "g")
+    each = F.array(reduce(lambda a, b: a + b, z2), F.greatest(*z2), F.col("d2"))
+    return own.select("g", *xs, F.posexplode(each).alias("s", "d2"))
 
 
 def fit(rows: DataFrame) -> DataFrame:
     """Estimates by group, from rows (g, x0..) that passed the base rules; a stored table."""
     xs = [f"x{i}" for i in range(DIMS)]
     rows = rows.select("g", *xs)
-    middle = stored(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in xs]), "medians")
-    spread = rows.join(middle, "g").groupBy("g").agg(*[F.first(f"m{x}").alias(f"m{x}") for x in xs], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"s{x}") for x in xs])
-    z = [((F.col(x) - F.col(f"m{x}")) / (1.4826 * F.col(f"s{x}") + FLOORS[i])) for i, x in enumerate(xs)]
-    first = rows.join(stored(spread, "spreads"), "g").withColumn("d2", reduce(lambda a, b: a + b, [v * v for v in z])).select("g", *xs, "d2")
-    fitted = stored(moments(nearest(first)), "estimate")
-    for _ in range(STEPS):
-        fitted = stored(moments(nearest(with_distance(rows, fitted).select("g", *xs, "d2"))), "estimate")
-    scale = with_distance(rows, fitted).groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN).alias("scale"))
+    tried = stored(moments(nearest(starts(rows), "g", "s"), "g", "s"), "estimate")
+    copies = rows.withColumn("s", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    for _ in range(FIRST):
+        tried = stored(moments(nearest(with_distance(copies, tried, "g", "s").select("g", "s", *xs, "d2"), "g", "s"), "g", "s"), "estimate")
+    names = [c for c in tried.columns if c != "s"]
+    fitted = stored(tried.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "s")).alias("e")).select("e.*"), "estimate")
+    while True:
+        step = moments(nearest(with_distance(rows, fitted, "g").select("g", *xs, "d2"), "g"), "g")
+        both = fitted.select("g", F.struct(*names).alias("old")).join(step.select("g", F.struct(*names).alias("new")), "g")
+        falls = F.col("new.log_det") < F.col("old.log_det") - FALL
+        chosen = stored(both.select(F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), falls.alias("falls")), "estimate")
+        fitted = chosen.select("e.*")
+        if not chosen.where("falls").limit(1).count():
+            break
+    scale = with_distance(rows, fitted, "g").groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN).alias("scale"))
     return stored(fitted.join(scale, "g"), "estimate")
 
 
 def verdict(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """``rows`` (g, base_failed, x0..) with distance (null if the base rules failed) and kept."""
-    out = with_distance(rows, fitted)
+    out = with_distance(rows, fitted, "g")
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.greatest(F.coalesce(F.col("scale"), F.lit(1.0)), F.lit(1.0)))
     drop = [c for c in fitted.columns if c != "g"] + [f"y{i}" for i in range(DIMS)] + ["d2"]
     return out.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).drop(*drop)

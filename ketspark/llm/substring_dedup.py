@@ -9,12 +9,14 @@ removes the spans whose match reaches the threshold; texts that were new extend
 ``match_reference`` is the plain broadcast form for a reference of bounded size.
 
 Nulls: a null text has no words; rows with a null id keep all their words and remove none. Repeated
-rows with one id and text count as one place. Texts under ``min_words`` keep everything.
+rows with one id and text count as one place; ties don't arise, as places are in order. Texts under ``min_words`` keep
+everything. An empty table gives no rows. Very long texts are cut at their anchors. Other columns are kept; one with the name
+of ``out_col`` is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,9 +84,14 @@ class SuffixAutomaton:
             yield length
 
 
-def word_units(data: bytes, hashes=WordHashes()):  # noqa: B008  one memo a worker
-    words = data.split()
-    return hashes.of(words), lambda a, b: b" ".join(words[a:b])
+def word_units() -> Callable:
+    hashes = WordHashes()
+
+    def units(data: bytes):
+        words = data.split()
+        return hashes.of(words), lambda a, b: b" ".join(words[a:b])
+
+    return units
 
 
 def later_windows(group: list[tuple], min_words: int) -> Iterator[tuple[int, int, int]]:
@@ -106,7 +113,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id
     """(id, runs): starts of the windows to remove, as array of (start, last), for documents that have any."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     rows = anchors.candidates(own, word_units, min_words, min(GRAM, min_words), first_only=True)
-    gone = anchors.settled(rows, lambda group: later_windows(group, min_words))
+    gone = anchors.settled(rows, lambda groups: (w for group in groups for w in later_windows(group, min_words)))
     return gone.groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("runs"))
 
 

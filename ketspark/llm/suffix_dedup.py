@@ -1,23 +1,28 @@
-"""Byte-level deduplication by prefix-free parsing and suffix order.
+"""Byte-level deduplication by prefix-free parsing.
 
 A string of ``length`` bytes goes, at all its places, if it starts anywhere else as well; matches stay
-inside documents. Rolling-hash triggers (the smallest hash of a ``GRAM``-byte gram in every
-``length`` bytes, see ``anchors``) parse the corpus into phrases: each phrase is the text around one
-trigger, and every string of ``length`` bytes lies in exactly one phrase, at a fixed distance from
-its trigger. The parse (trigger, document, place) is counted by trigger over the cluster; only
-phrases of repeated triggers travel on. A task merges the phrases of one trigger into a dictionary
-with the places of each phrase, sorts the dictionary's suffixes, and reads off neighbours in that
-order whose common prefix reaches ``length``; the parse then carries the result to all places.
+inside documents. One suffix array of the corpus would not fit a task, so the corpus is dealt into shards in which equal
+strings meet: each string belongs to its trigger, the smallest rolling hash of a ``GRAM``-byte gram in it (see
+``anchors``); triggers found once hold no repeat and their text stays where it is.
+
+A task gathers shards to ``SHARD_BYTES`` of text, keeps each distinct stretch of text once with its places, and puts all its
+suffixes in order by prefix-free parsing (``Parse``): ``WINDOW``-byte grams whose rolling hash is divisible by
+``DIVISOR`` cut the text into phrases that overlap by a gram; the dictionary of distinct phrases and the parse, the
+sequence of their ranks, get suffix arrays of their own; a suffix of the text is placed by the rank of the rest of its phrase
+among all ends of phrases in the dictionary, and then by the rank of the parse that follows. Neighbours in
+this order whose common prefix reaches ``length`` are repeats; phrases and their ends are compared as bytes, never by hash.
 
 Nulls: a null text is empty; rows with a null id lose nothing. Repeated rows with one id and text
-count as one place. Texts under ``length`` bytes keep everything.
+count as one place; ties don't arise, as all places of a string go. Texts under ``length`` bytes keep everything. An empty table
+gives no rows. Very long texts are cut at their triggers like others. Other columns are kept; one with the name of
+``out_col`` is replaced.
 """
 
 from __future__ import annotations
 
 import functools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.llm import anchors
-from ketspark.llm.common import as_bytes
+from ketspark.llm.common import as_bytes, grams
 
-#: bytes of a trigger
+#: bytes of a gram that deals text to shards
 GRAM = 32
+#: text that is put in order together
+SHARD_BYTES = 1 << 20
+#: bytes of a trigger of the parse, and one in how many grams is one
+WINDOW, DIVISOR = 8, 16
 
 
 @functools.cache
@@ -36,53 +45,129 @@ def byte_values() -> np.ndarray:
     return np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64)
 
 
-def byte_units(data: bytes):
-    return byte_values()[np.frombuffer(data, np.uint8)], lambda a, b: data[a:b]
-
-
-def shared_windows(group: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
-    """Windows of one trigger's phrases that start at more than one place."""
-    dictionary: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
-    for id_, start, last, trigger, data in group:
-        dictionary[trigger, data].append((id_, start, last))
+def byte_units() -> Callable:
+    return lambda data: (byte_values()[np.frombuffer(data, np.uint8)], lambda a, b: data[a:b])
+
+
+class Parse:
+    """Prefix-free parse of some texts: phrases, their dictionary in order, and the parse with ranks of its suffixes."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        self.texts, self.length = texts, length
+        self.text = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        # phrases: from one trigger to the end of the next; texts are parsed apart
+        hit = grams(byte_values()[np.frombuffer(self.text, np.uint8)], WINDOW) % np.uint64(DIVISOR) == 0
+        at = np.flatnonzero(hit)
+        own = np.searchsorted(ends, at, "right")
+        inside = at + WINDOW <= ends[np.minimum(own, len(ends) - 1)]
+        starts = np.unique(np.concatenate((ends - [len(t) for t in texts], at[inside])))
+        self.of_text = np.searchsorted(ends, starts, "right")
+        last = np.append(self.of_text[1:] != self.of_text[:-1], True)
+        stops = np.where(last, ends[self.of_text], np.append(starts[1:], 0) + WINDOW)
+        phrases = [self.text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        self.dictionary = sorted(set(phrases))
+        number = {p: i for i, p in enumerate(self.dictionary)}
+        self.starts, self.last, self.ends = starts, last, ends
+        self.parse = np.fromiter(map(number.__getitem__, phrases), np.int64, len(phrases))
+        self.names = self._names()
+
+    def _names(self) -> list[np.ndarray]:
+        """Ranks of the parse's runs of 1, 2, 4, ... phrases, by doubling, until each covers ``length`` bytes or all differ.
+        A run that reaches over the end of its text differs from all others and comes before longer ones."""
+        n = len(self.parse)
+        alone = np.arange(n) + len(self.dictionary)
+        names = [np.where(self.last, alone, self.parse)]
+        # the last phrase of a text sorts by its bytes, then by place
+        order = np.lexsort((names[0], self.parse))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, (self.parse[order][1:] != self.parse[order][:-1]) | (names[0][order][1:] != names[0][order][:-1])))
+        names = [rank]
+        step = 1
+        while step < self.length and names[-1].max(initial=0) + 1 < n:
+            after = np.full(n, 0, np.int64)
+            after[:-step] = names[-1][step:] + 1
+            # runs that have left their text are told apart already by its last phrase
+            _, rank = np.unique(names[-1] * (n + 2) + after, return_inverse=True)
+            names.append(rank)
+            step *= 2
+        return names
+
+    def repeated(self) -> np.ndarray:
+        """Whether the string of ``length`` bytes at each place of the texts starts at another place as well."""
+        n, m, length = len(self.text), len(self.parse), self.length
+        bounds = np.append(self.starts, n)
+        place = np.arange(n)
+        phrase = np.repeat(np.arange(m), np.diff(bounds))
+        size = np.fromiter(map(len, self.dictionary), np.int64, len(self.dictionary))[self.parse]
+        left = size[phrase] - (place - self.starts[phrase])  # bytes to the end of the phrase
+        some = place + length <= self.ends[self.of_text[phrase]]
+        # a string around a run of phrases that comes once is no repeat
+        following = np.minimum(phrase + 1, m - 1)
+        for k in range(len(self.names)):
+            once = np.bincount(self.names[k])[self.names[k]] == 1
+            reach = bounds[np.minimum(np.arange(m) + (1 << k), m)] + WINDOW
+            some &= ~(once[following] & (reach[following] <= place + length) & (phrase + 1 < m))
+        valid = np.flatnonzero(some)
+        # suffix array of the dictionary: ranks of the ends of phrases that are left, of ``length`` bytes at most
+        first = np.cumsum([0] + [len(p) for p in self.dictionary])
+        code, back = np.unique(first[self.parse[phrase[valid]]] + valid - self.starts[phrase[valid]], return_inverse=True)
+        of = np.searchsorted(first, code, "right") - 1
+        ends = [self.dictionary[p][o : o + length] for p, o in zip(of.tolist(), (code - first[of]).tolist(), strict=True)]
+        number = {e: i for i, e in enumerate(sorted(set(ends)))}
+        own = np.zeros(n, np.int64)
+        own[valid] = np.fromiter(map(number.__getitem__, ends), np.int64, len(ends))[back]
+        after = np.where(left >= length, 0, self.names[-1][following])
+        order = valid[np.lexsort((after[valid], own[valid]))]  # the suffixes of the texts in order
+        a, b = order[:-1], order[1:]
+        near = own[a] == own[b]
+        a, b = a[near], b[near]
+        same = left[a] >= length
+        todo = np.flatnonzero(~same)
+        # common prefix beyond the phrase, phrase by phrase in runs of 2^k
+        i, j, covered = phrase[a[todo]] + 1, phrase[b[todo]] + 1, left[a[todo]] - WINDOW
+        for k in range(len(self.names) - 1, -1, -1):
+            x, y = np.minimum(i, m - 1), np.minimum(j, m - 1)
+            equal = (i < m) & (j < m) & (self.names[k][x] == self.names[k][y]) & (covered < length)
+            to = np.minimum(i + (1 << k), m)
+            covered = np.where(equal, covered + bounds[to] - bounds[np.minimum(i, m)], covered)
+            i, j = np.where(equal, to, i), np.where(equal, np.minimum(j + (1 << k), m), j)
+        same[todo] = covered >= length
+        # the string may end inside the first phrases that differ
+        for k in todo[(covered < length)].tolist():
+            same[k] = self.text[a[k] : a[k] + length] == self.text[b[k] : b[k] + length]
+        out = np.zeros(n, bool)
+        out[a[same]] = out[b[same]] = True
+        return out
+
+
+def shared_windows(groups: list[list[tuple]], length: int) -> Iterator[tuple[int, int, int]]:
+    """Windows of the groups' texts that start at more than one place."""
+    dictionary: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+    for group in groups:
+        for id_, start, last, _, data in group:
+            dictionary[data].append((id_, start, last))
     for places in dictionary.values():
         if len(places) > 1:
             yield from places
-    if len(dictionary) > 1:
-        phrases = list(dictionary)
-        # suffixes that are at least as long as a window, in order; each of a phrase's windows begins one
-        order = sorted((data[s : s + length], i, s) for i, (_, data) in enumerate(phrases) for s in range(len(data) - length + 1))
-        gone: dict[int, set[int]] = defaultdict(set)
-        for (a, i, s), (b, j, t) in zip(order, order[1:], strict=False):
-            if a == b:
-                gone[i].add(s)
-                gone[j].add(t)
-        for i, starts in gone.items():
-            places = dictionary[phrases[i]]
+    texts = list(dictionary)
+    if len(texts) > 1:
+        at = np.flatnonzero(Parse(texts, length).repeated())
+        begins = np.cumsum([0] + [len(t) for t in texts])
+        of = np.searchsorted(begins, at, "right") - 1
+        gone = []
+        for k, s in zip(of.tolist(), (at - begins[of]).tolist(), strict=True):
+            places = dictionary[texts[k]]
             if len(places) == 1:
-                id_, start, _ = places[0]
-                yield from anchors.ranges([(id_, start + s) for s in starts])
-
-
-def judge(group: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
-    """Single windows of a very frequent trigger come as digests: all places of one digest go."""
-    by_digest: dict[bytes, list] = defaultdict(list)
-    for row in group:
-        if len(row[4]) < length:
-            by_digest[row[4]].append(row[:3])
-    for places in by_digest.values():
-        if len(places) > 1:
-            yield from places
-    phrases = [row for row in group if len(row[4]) >= length]
-    if len(phrases) > 1:
-        yield from shared_windows(phrases, length)
+                gone.append((places[0][0], places[0][1] + s))
+        yield from anchors.ranges(gone)
 
 
 def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, runs): starts of the strings to remove, as array of (start, last) in bytes."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     rows = anchors.candidates(own, byte_units, length, min(GRAM, length), first_only=False)
-    return anchors.settled(rows, lambda group: judge(group, length)).groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("runs"))
+    return anchors.settled(rows, lambda groups: shared_windows(groups, length), SHARD_BYTES).groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("runs"))
 
 
 def kept_bytes(text: Column, runs: Column, length: int) -> Column:

@@ -6,7 +6,8 @@ WARC/1.1 files of bounded size with fresh headers, written and read by Spark, so
 reaches will do. Reading follows Content-Length and joins revisits to their responses again.
 
 Nulls: a null payload is empty, a null URI is left out; records with a null id are responses.
-Records with equal id and payload are responses both.
+Records with equal id and payload (ties, repeated rows) are responses both. An empty table makes an archive without
+records. Very long payloads are one record each, in files of their own. Other columns of ``records`` aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ketspark.llm.common import join_spread, new_path, stored
 CRLF = "\r\n"
 #: repeated digests that may be broadcast; more are joined by shuffle
 BROADCAST_DIGESTS = 100_000
+#: bytes of the records of the first class of size
+SMALL_RECORD = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -64,10 +67,16 @@ def record_text() -> Column:
 
 
 def write_archives(records: DataFrame, path: str, min_bytes: int = 100, file_mb: int = 16) -> None:
-    """Deduplicated archives of about ``file_mb`` each."""
-    mean = records.agg(F.avg(F.coalesce(F.octet_length("payload"), F.lit(0)) + 500)).first()[0] or 1
-    lines = with_revisits(records, min_bytes).select(record_text().alias("value"))
-    lines.write.option("lineSep", 2 * CRLF).option("maxRecordsPerFile", max(1, int((file_mb << 20) / mean))).text(path)
+    """Deduplicated archives of about ``file_mb`` each. Records are written by classes of size, each at most twice as long as
+    the one before (nearly always there is one class), so that no file outgrows the 1 GB that readers take at once,
+    however uneven the records are; a record of over 1 GB would be a file of its own."""
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)) + 1000
+    of_class = F.greatest(F.lit(0), F.ceil(F.log2(size / SMALL_RECORD))).cast("int")
+    classes = records.groupBy(of_class.alias("c")).agg(F.avg(size)).collect()  # at most 32 rows
+    lines = with_revisits(records, min_bytes).select(of_class.alias("c"), record_text().alias("value"))
+    for c, mean in sorted(map(tuple, classes)) or [(0, 1.0)]:
+        most = max(1, min(int((file_mb << 20) / mean), (1 << 30) // (SMALL_RECORD << c)))
+        lines.where(F.col("c") == c).select("value").write.mode("append").option("lineSep", 2 * CRLF).option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:

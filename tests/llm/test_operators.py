@@ -43,9 +43,10 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_substring_dedup(docs, none, hot, monkeypatch):
+@pytest.mark.parametrize("hot,filtered", [(256, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
+def test_substring_dedup(docs, none, hot, filtered, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "FILTERED", filtered)
     seen, expected = set(), {}
     for i, t in sorted(DOCS.items()):
         w = (t or "").encode().split()
@@ -73,9 +74,10 @@ def test_match_reference(docs):
         substring_dedup.match_reference(docs, ["a " * 300_000])
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_dedup(docs, none, hot, monkeypatch):
+@pytest.mark.parametrize("hot,filtered", [(256, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
+def test_suffix_dedup(docs, none, hot, filtered, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "FILTERED", filtered)
     length, n = 100, Counter()
     for t in DOCS.values():
         b = (t or "").encode()
@@ -92,6 +94,22 @@ def test_suffix_dedup(docs, none, hot, monkeypatch):
     assert suffix_dedup.remove_strings(none, out_col="found").count() == 0
 
 
+def repeats_of(texts, length):
+    n = Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
+    return [len(t) - length >= s and n[t[s : s + length]] > 1 for t in texts for s in range(len(t))]
+
+
+def test_parse_finds_all_repeats():
+    rng = random.Random(1)
+    for _ in range(400):
+        length = rng.choice([5, 9, 12, 20, 40, 100])
+        letters = rng.choice([b"a", b"ab", b"abcdefgh", bytes(range(256))])
+        base = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 150))) for _ in range(3)]
+        texts = [b"".join(rng.choice(base)[rng.randint(0, 60) : rng.randint(20, 150)] for _ in range(rng.randint(1, 4))) or b"x" for _ in range(rng.randint(1, 8))]
+        texts = list(dict.fromkeys(texts))
+        assert suffix_dedup.Parse(texts, length).repeated().tolist() == repeats_of(texts, length)
+
+
 def brute_classes(least=0.8):
     first, sets = {}, {}
     for i, t in sorted(DOCS.items()):
@@ -143,6 +161,18 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_encoder_has_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    rng = random.Random(3)
+    letters = "aAbTIKwyhj .,!?*'0123é\u0331\u0308\u0307\u030aßİſK中가\u1100\u1161\u00a0\u2028\n\t#&$|İΣς½ªǅ"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [x or "" for x in DOCS.values()]
+    got = list(own.encode([o.encode() for o in odd]))
+    for o, ids in zip(odd, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(o, add_special_tokens=False).ids, ascii(o)
+
+
 def test_wand_finds_all():
     rng = random.Random(2)
     items = [(i, " ".join(f"t{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(3, 30)))) for i in range(80)]
@@ -174,6 +204,23 @@ def test_tokens_and_packing(spark, docs, none, tmp_path):
         assert r.start == at and r.n_tokens == len(r.ids)
         assert r.doc_id is None or r.ids == [*ids[r.doc_id], 2]
         at += r.n_tokens
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)  # several files a task
+    try:
+        tokens.write_tokens(docs, f"{path}-split", tokens.default_tokenizer())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    split = sorted(tokens.read_tokens(spark, f"{path}-split").select("doc_id", "start", "n_tokens", "ids").collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in split] == [(r.doc_id, r.start, r.n_tokens) for r in got]
+    import pyarrow.parquet as pq
+
+    foot = pq.ParquetFile(next(p for p in sorted(tmp_path.glob("tokens/part-*.parquet")) if pq.read_metadata(p).num_rows)).metadata.row_group(0)
+    by = {foot.column(i).path_in_schema: foot.column(i) for i in range(foot.num_columns)}
+    assert by["doc_id"].has_column_index and by["doc_id"].has_offset_index
+    assert any("DICTIONARY" in e for e in by["ids.list.element"].encodings) and any("DELTA" in e for e in by["doc_id"].encodings + by["task_start"].encodings)
+    plan = tokens.read_tokens(spark, path).where("doc_id = 5").select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    scan = next(x for x in plan.split("ReadSchema")[1:] if "doc_id" in x)
+    assert "ids" not in scan.split("\n")[0] and "EqualTo(doc_id,5)" in plan
+    assert tokens.read_tokens(spark, path).where("doc_id = 5").count() == 1
     packed = packing.pack(packing.pieces(docs, tokens.default_tokenizer(), 512, 0, "doc_id", "text"), 512).collect()
     seqs = defaultdict(list)
     for r in packed:
@@ -231,6 +278,10 @@ def test_warc(spark, tmp_path, monkeypatch):
             assert by[i].refers_to == {5: 2, 9: 2, 7: 6}.get(i)
             assert i in (5, 9, 7) or bytes(by[i].payload) == b
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/empty")
+    assert warc.resolved(warc.read_archives(spark, f"file://{tmp_path}/empty")).count() == 0
+    uneven = spark.createDataFrame([(i, None, chr(97 + i) * n) for i, n in enumerate((10, 100_000, 3_000_000, 50))], "id long, uri string, payload string")
+    warc.write_archives(uneven, f"file://{tmp_path}/uneven")
+    assert sorted((r.id, r.payload_bytes) for r in warc.read_archives(spark, f"file://{tmp_path}/uneven").collect()) == [(0, 10), (1, 100_000), (2, 3_000_000), (3, 50)]
 
 
 def test_quality(docs, none):
@@ -256,8 +307,8 @@ def test_mahalanobis_distance(spark):
     x = rng.normal(size=(400, quality.DIMS)) * [0.3, 0.2, 0.4, 0.5, 0.3]
     x[:20] += 6
     rows = spark.createDataFrame([(i, "g", False, *map(float, v)) for i, v in enumerate(x)], "i long, g string, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
-    fitted = quality.moments(rows.where("i >= 20"))
-    got = np.array([r.d2 for r in quality.with_distance(rows, fitted).orderBy("i").collect()])
+    fitted = quality.moments(rows.where("i >= 20"), "g")
+    got = np.array([r.d2 for r in quality.with_distance(rows, fitted, "g").orderBy("i").collect()])
     c = np.cov(x[20:].T, bias=True) + np.diag(np.square(quality.FLOORS))
     d = x - x[20:].mean(axis=0)
     assert np.allclose(got, np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
@@ -265,6 +316,58 @@ def test_mahalanobis_distance(spark):
     assert kept == set(range(20, 400))
 
 
+def brute_mcd(x):
+    """Squared distances by the minimum covariance determinant search, scaled, of one group in numpy."""
+    n, floors, at = len(x), np.array(quality.FLOORS), lambda v, share: np.sort(v)[max(0, math.ceil(share * len(v)) - 1)]
+
+    def estimate(own):
+        c = own.T @ own / len(own) - np.outer(own.mean(0), own.mean(0))
+        low = np.zeros((quality.DIMS, quality.DIMS))
+        for i in range(quality.DIMS):
+            for j in range(i + 1):
+                v = c[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, 0) + floors[i] ** 2) if i == j else v / low[j, j]
+        return own.mean(0), low, 2 * np.log(np.diag(low)).sum()
+
+    def distance(e):
+        y = np.linalg.solve(e[1], (x - e[0]).T)
+        return (y * y).sum(0)
+
+    step = lambda d: estimate(x[d <= at(d, quality.SHARE)])
+    middle = np.array([at(c, 0.5) for c in x.T])
+    z2 = ((x - middle) / (1.4826 * np.array([at(c, 0.5) for c in abs(x - middle).T]) + floors)) ** 2
+    tried = [step(d) for d in (z2.sum(1), z2.max(1), distance(estimate(x)))]
+    for _ in range(quality.FIRST):
+        tried = [step(distance(e)) for e in tried]
+    best = min(tried, key=lambda e: e[2])
+    while (new := step(distance(best)))[2] < best[2] - quality.FALL:
+        best = new
+    d = distance(best)
+    assert n > 0
+    return d / max(1.0, at(d, 0.5) / quality.CHI2_MEDIAN), best[2]
+
+
+def test_minimum_covariance_determinant(spark):
+    rng = np.random.default_rng(9)
+    groups = {}
+    for g, n, bad in (("a", 300, 60), ("b", 120, 25), ("c", 40, 8), ("one", 1, 0), ("flat", 30, 0)):
+        x = rng.normal(size=(n, quality.DIMS)) @ rng.normal(size=(quality.DIMS, quality.DIMS)) * 0.4
+        x[:bad] += rng.normal(size=quality.DIMS) * 9
+        groups[g] = x if g != "flat" else np.ones_like(x)
+    rows = [(f"{g}{i}", g, False, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i string, g string, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3)
+    fitted = quality.fit(df)
+    got = {r.i: r for r in quality.verdict(df, fitted).collect()}
+    dets = {r.g: r.log_det for r in fitted.collect()}
+    for g, x in groups.items():
+        d, det = brute_mcd(x)
+        assert math.isclose(dets[g], det, abs_tol=1e-6)
+        for i, v in enumerate(d):
+            assert math.isclose(got[f"{g}{i}"].distance, v, rel_tol=1e-6, abs_tol=1e-6)
+            assert got[f"{g}{i}"].kept == (v <= quality.CUTOFF)
+    assert not got["a0"].kept and got["a299"].kept and got["one0"].kept and got["flat3"].kept
+
+
 @pytest.mark.parametrize("listed", [2_000_000, 150])
 def test_language_model(docs, none, listed, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "MAX_LISTED", listed)
