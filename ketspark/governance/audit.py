@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import itertools
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,19 +55,50 @@ def catalog(datasets: DataFrame) -> DataFrame:
 
 
 def owners(datasets: DataFrame, owner: Column, dataset: str) -> DataFrame:
-    """(owner, n, datasets)."""
-    return datasets.groupBy(owner.alias("owner")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(dataset).cast("string"))), ",").alias("datasets"))
+    """(owner, dataset, n): a row for each dataset of an owner, with how many the owner has; an owner may have any number."""
+    own = datasets.select(F.coalesce(owner.cast("string"), F.lit("unknown")).alias("owner"), F.col(dataset).alias("dataset")).distinct()
+    sizes = own.groupBy("owner").agg(F.count("*").alias("n"))
+    return own.join(sizes, "owner")
+
+
+def export_trail(events: DataFrame, path: str) -> None:
+    """The audit trail as JSON lines in a folder that the cluster shares."""
+    events.write.json(path)
+
+
+def violations(data: DataFrame, policies: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
+    """(policy, key, measure, value, limit): what breaks a policy. ``policies``: policy, measure and the largest
+    value allowed (limit); a missing value breaks none."""
+    cells = data.unpivot([key], [F.col(c).cast("double").alias(c) for c in measures], "measure", "value")
+    return cells.join(F.broadcast(policies) if policies.count() <= 100_000 else policies, "measure").where(F.col("value") > F.col("limit")).select("policy", key, "measure", "value", "limit")
+
+
+def compliance_report(found: DataFrame, policies: DataFrame) -> DataFrame:
+    """(policy, measure, limit, n_violations, worst): one row a policy, also where nothing breaks it."""
+    counts = found.groupBy("policy", "measure").agg(F.count("*").alias("n_violations"), F.max("value").alias("worst"))
+    return policies.join(counts, ["policy", "measure"], "left").select("policy", "measure", "limit", F.coalesce("n_violations", F.lit(0)).alias("n_violations"), "worst")
+
+
+def ancestors(edges: DataFrame, child: str, parent: str, dataset) -> DataFrame:
+    """(dataset, ancestor, depth) of one dataset: a join a level from it alone, not the closure of all."""
+    step = edges.select(F.col(child).alias("__child"), F.col(parent).alias("ancestor")).where("__child is not null and ancestor is not null").distinct()
+    front = step.where(F.col("__child") == dataset).select(F.col("__child").alias("dataset"), "ancestor")
+    return _levels(front, step.withColumnRenamed("ancestor", "__next").withColumnRenamed("__child", "ancestor"))
 
 
 def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """(dataset, ancestor, depth): all ancestors with the shortest distance; a level a step until none is new.
     Raises an error if there are any beyond a caller's ``max_depth``."""
+    step = edges.select(F.col(child).alias("dataset"), F.col(parent).alias("ancestor")).where("dataset is not null and ancestor is not null").distinct()
+    return _levels(step, step.select(F.col("dataset").alias("ancestor"), F.col("ancestor").alias("__next")), max_depth)
+
+
+def _levels(step: DataFrame, up: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """What can be reached from (dataset, ancestor) by (ancestor, __next), with depths."""
     from ketspark.plans.storage import stored
 
-    step = edges.select(F.col(child).alias("dataset"), F.col(parent).alias("ancestor")).where("dataset is not null and ancestor is not null").distinct()
     found = front = stored(step.withColumn("depth", F.lit(1).cast("long")), "closure")
     for d in itertools.count(2):
-        up = step.select(F.col("dataset").alias("ancestor"), F.col("ancestor").alias("__next"))
         new = front.join(up, "ancestor").select("dataset", F.col("__next").alias("ancestor")).distinct()
         front = stored(new.join(found, ["dataset", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "closure")
         if not front.limit(1).count():
@@ -126,6 +158,24 @@ def decrypted(col: Column, key: bytes) -> Column:
     return F.aes_decrypt(F.unbase64(col), F.lit(key)).cast("string")
 
 
+def rotated(col: Column, old: bytes, new: bytes) -> Column:
+    """What ``encrypted`` wrote with the old key, under the new one."""
+    return F.base64(F.aes_encrypt(F.aes_decrypt(F.unbase64(col), F.lit(old)), F.lit(new)))
+
+
+def alerts(events: DataFrame, source: str, kind: str, severity: Column, failed: Column, most: int = 5) -> DataFrame:
+    """(source, reason, n): an alert for each critical kind of event of a source, and one for over ``most`` failures."""
+    critical = events.where(severity == "critical").groupBy(source, F.concat(F.lit("critical "), F.col(kind)).alias("reason")).agg(F.count("*").alias("n"))
+    often = failed_attempts(events, source, failed, most).where("anomalous").select(source, F.lit("failed attempts").alias("reason"), F.col("n_failed").alias("n"))
+    return critical.unionByName(often)
+
+
+def security_report(events: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """(n_events, n_kinds, n_alerts)."""
+    counts = found.agg(F.count("*").alias("n_alerts"))
+    return events.agg(F.count("*").alias("n_events"), F.count_distinct(kind).alias("n_kinds")).crossJoin(F.broadcast(counts))  # one row each
+
+
 def failed_attempts(events: DataFrame, source: str, failed: Column, most: int = 5) -> DataFrame:
     """(source, n_failed, anomalous)."""
     return events.groupBy(source).agg(F.count_if(failed).alias("n_failed")).withColumn("anomalous", F.col("n_failed") > most)

@@ -1,4 +1,4 @@
-"""Workflows of dependent tasks, schedules and progress."""
+"""Tables of dependent tasks, and progress."""
 
 from __future__ import annotations
 
@@ -26,74 +26,9 @@ def status_counts(tasks: DataFrame, status: str = "status", statuses: Sequence[s
     return F.broadcast(every).join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-class Workflow:
-    """Tasks in a table's rows; ``executor(operation, params)`` may run any Spark job."""
-
-    SCHEMA = "task_id string, name string, operation string, params map<string,string>, dependencies array<string>, status string, error string"
-
-    def __init__(self, name: str, description: str = ""):
-        self.name, self.description = name, description
-        self.tasks: dict[str, dict] = {}
-        self.results: dict[str, object] = {}
-
-    def add_task(self, name: str, operation: str, params: dict | None = None, dependencies: Sequence[str] = ()) -> str:
-        task_id = f"task_{len(self.tasks)}"
-        self.tasks[task_id] = {"task_id": task_id, "name": name, "operation": operation, "params": params or {}, "dependencies": list(dependencies), "status": "pending", "error": None}
-        return task_id
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(t["task_id"], t["name"], t["operation"], {k: str(v) for k, v in t["params"].items()}, t["dependencies"], t["status"], t["error"]) for t in self.tasks.values()]
-        return spark.createDataFrame(rows, self.SCHEMA)
-
-    def executable(self) -> list[str]:
-        done = lambda d: d not in self.tasks or self.tasks[d]["status"] == "success"
-        return [k for k, t in self.tasks.items() if t["status"] == "pending" and all(map(done, t["dependencies"]))]
-
-    def execute(self, task_id: str, executor: Callable[[str, dict], object]) -> bool:
-        if task_id not in self.tasks:
-            raise ValueError(f"unknown task {task_id}")
-        t = self.tasks[task_id]
-        t["status"] = "running"
-        try:
-            self.results[task_id] = executor(t["operation"], t["params"])
-            t["status"] = "success"
-        except Exception as e:  # noqa: BLE001  kept with the task
-            t["status"], t["error"] = "failed", str(e)
-        return t["status"] == "success"
-
-    def run(self, executor: Callable[[str, dict], object]) -> dict[str, str]:
-        while todo := self.executable():
-            for k in todo:
-                self.execute(k, executor)
-        return {k: t["status"] for k, t in self.tasks.items()}
-
-    def export(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump({"name": self.name, "description": self.description, "tasks": list(self.tasks.values())}, f, indent=2)
-
-
-class ResourceScheduler:
-    """Slots and memory of parallel tasks, and a schedule by time."""
-
-    def __init__(self, max_parallel: int = 4, max_memory_gb: float = 32.0):
-        self.max_parallel, self.max_memory, self.held, self.plan = max_parallel, max_memory_gb, {}, []
-
-    def allocate(self, task: str, memory_gb: float, cpus: int, priority: int = 0) -> bool:
-        if task in self.held or sum(m for m, _, _ in self.held.values()) + memory_gb > self.max_memory or len(self.held) >= self.max_parallel:
-            return False
-        self.held[task] = (memory_gb, cpus, priority)
-        return True
-
-    def deallocate(self, task: str) -> bool:
-        return self.held.pop(task, None) is not None
-
-    def availability(self) -> dict:
-        used = sum(m for m, _, _ in self.held.values())
-        return {"available_memory_gb": self.max_memory - used, "available_slots": self.max_parallel - len(self.held), "running": len(self.held)}
-
-    def schedule(self, task: str, at: str, seconds: float) -> None:
-        self.plan.append((at, task, seconds))
-        self.plan.sort(key=lambda x: x[0])
+def export(tasks: DataFrame, path: str) -> None:
+    """Tasks as JSON lines in a folder that the cluster shares."""
+    tasks.write.json(path)
 
 
 class JobMonitor:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ketspark.base import Transformer, one_of
+from ketspark.plans.stats import column_stats, exact_percentiles
 
 #: categories that are fitted as literals or broadcast; above it joins are left to a shuffle
 MAX_BROADCAST = 100_000
@@ -34,7 +35,7 @@ class CategoricalEncoder(Transformer):
             if self.method in ("onehot", "binary") and n > MAX_BROADCAST:
                 raise ValueError(f"{c} has {n} categories, too many for columns of their own")
             index = values.withColumn("__index", (F.row_number().over(W.orderBy(c)) - 1).cast("long")) if n <= MAX_BROADCAST else self._ranked(values, c)
-            self.params[c] = {"n": n, "index": index, "values": [r[0] for r in values.orderBy(c).collect()] if self.method in ("onehot", "binary") else None}
+            self.params[c] = {"n": n, "index": index, "values": [r[0] for r in values.orderBy(c).collect()] if self.method == "onehot" else None}
         return self
 
     @staticmethod
@@ -111,7 +112,9 @@ class FrequencyEncoder(Transformer):
 
 
 def digitize(x: Column, edges: Sequence[float]) -> Column:
-    """Number of edges up to x, less one: below the first edge -1, at the last edge one more bin."""
+    """Number of edges up to x, less one: below the first edge -1, at the last edge one more bin. Null without edges or x."""
+    if not edges:
+        return F.lit(None).cast("long")
     return (F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1).cast("long")
 
 
@@ -124,14 +127,16 @@ class BinningEncoder(Transformer):
 
     def fit(self, df):
         k = self.n_bins
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / k) for i in range(k + 1)])).alias(c) for c in self.cols]).first()
+        exact = exact_percentiles(df, {c: F.col(c) for c in self.cols}, [i / k for i in range(k + 1)]) if self.method == "quantile" else {}
+        ranges = {} if exact else column_stats(df, self.cols)
         self.params = {}
         for c in self.cols:
-            q = row[c]
-            if self.method == "uniform":
-                q = [q[0] + (q[-1] - q[0]) / k * i for i in range(k)] + [q[-1]]
-            elif self.method == "kmeans":
-                q = [q[0], *self._centres(df, c), q[-1]]
+            if self.method == "quantile":
+                q = exact[c] or []
+            else:
+                low, high = ranges[c]["min"], ranges[c]["max"]
+                inner = [] if low is None else self._centres(df, c) if self.method == "kmeans" else [low + (high - low) / k * i for i in range(1, k)]
+                q = [] if low is None else [low, *inner, high]
             self.params[c] = sorted(set(q))
         return self
 
@@ -147,8 +152,12 @@ class BinningEncoder(Transformer):
 
 
 def hash_features(df: DataFrame, cols: Sequence[str], n_features: int = 1024, out_col: str = "hashed") -> DataFrame:
-    """Signed feature hashing of "column=value": map from bucket to value, by md5, so that it is portable and stateless."""
+    """Signed feature hashing of "column=value" by md5, so that it is portable and stateless: buckets in ascending order,
+    each once, with the sum of its values. Null cells have no bucket."""
     digest = lambda c: F.md5(F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
     number = lambda c, at: F.conv(F.substring(digest(c), at, 8), 16, 10).cast("long")
     cells = F.array(*[F.struct((number(c, 1) % n_features).alias("bucket"), F.when(number(c, 9) % 2 == 0, 1.0).otherwise(-1.0).alias("value")) for c in cols])
-    return df.withColumn(out_col, F.filter(cells, lambda x: x["bucket"].isNotNull()))
+    some = F.filter(cells, lambda x: x["bucket"].isNotNull())
+    total = lambda b: F.aggregate(F.filter(some, lambda x: x["bucket"] == b), F.lit(0.0), lambda a, x: a + x["value"])
+    buckets = F.array_sort(F.array_distinct(F.transform(some, lambda x: x["bucket"])))
+    return df.withColumn(out_col, F.transform(buckets, lambda b: F.struct(b.alias("bucket"), total(b).alias("value"))))

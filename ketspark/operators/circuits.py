@@ -1,18 +1,19 @@
-"""Circuit rewriting, metrics, cost and simulation over gate arrays."""
+"""Circuit rewriting, metrics, cost and OpenQASM over gate arrays."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.operators.encoders import GATE, gate
 
 ROTATIONS = ("rx", "ry", "rz", "p")
+#: a gate of OpenQASM: name, parameters, qubits
+GATE_LINE = r"^([a-z]\w*)\s*(?:\(([^)]*)\))?\s+(\w+\[\d+\].*)$"
 
 
 def bare(kind: str, angle: float) -> Column:
@@ -136,74 +137,23 @@ def qasm(circuit: Column, n_qubits: int) -> Column:
     return F.concat_ws("\n", F.lit("OPENQASM 2.0;"), F.lit('include "qelib1.inc";'), F.lit(f"qreg q[{n_qubits}];"), F.concat_ws("\n", F.transform(circuit["gates"], line)))
 
 
-def _matrix(kind: str, a: np.ndarray) -> np.ndarray:
-    """1-qubit gates of a batch: (rows, 2, 2)."""
-    m = np.zeros((len(a), 2, 2), complex)
-    c, s, e = np.cos(a / 2), np.sin(a / 2), np.exp(0.5j * a)
-    if kind == "rx":
-        m[:, 0, 0] = m[:, 1, 1] = c
-        m[:, 0, 1] = m[:, 1, 0] = -1j * s
-    elif kind == "ry":
-        m[:, 0, 0] = m[:, 1, 1] = c
-        m[:, 0, 1], m[:, 1, 0] = -s, s
-    elif kind == "rz":
-        m[:, 0, 0], m[:, 1, 1] = e.conj(), e
-    elif kind == "p":
-        m[:, 0, 0], m[:, 1, 1] = 1, np.exp(1j * a)
-    elif kind in FIXED:
-        m[:] = FIXED[kind]
-    else:
-        raise ValueError(f"no simulation of gate {kind}")
-    return m
-
-
-FIXED = {"h": np.array([[1, 1], [1, -1]]) / np.sqrt(2), "x": np.array([[0, 1], [1, 0]]), "y": np.array([[0, -1j], [1j, 0]]), "z": np.diag([1, -1]), "s": np.diag([1, 1j]), "sdg": np.diag([1, -1j]), "t": np.diag([1, np.exp(0.25j * np.pi)])}
-
-
-def apply(state: np.ndarray, kind: str, qubits: Sequence[int], a: np.ndarray, n: int) -> np.ndarray:
-    """State vectors (rows, 2^n), qubit 0 lowest, after a gate with one angle a row."""
-    axis = lambda q: n - q
-    t = state.reshape(len(state), *[2] * n)
-    if len(qubits) == 1:
-        t = np.moveaxis(t, axis(qubits[0]), 1)
-        t = np.einsum("rij,rj...->ri...", _matrix(kind, a), t)
-        return np.moveaxis(t, 1, axis(qubits[0])).reshape(len(state), -1)
-    t = np.moveaxis(t, (axis(qubits[0]), axis(qubits[1])), (1, 2)).copy()
-    if kind == "cx":
-        t[:, 1] = t[:, 1, ::-1]
-    elif kind == "cp":
-        t[:, 1, 1] *= np.exp(1j * a).reshape(-1, *[1] * (t.ndim - 3))
-    elif kind == "rzz":
-        for i in (0, 1):
-            for j in (0, 1):
-                t[:, i, j] *= np.exp((0.5j if i != j else -0.5j) * a).reshape(-1, *[1] * (t.ndim - 3))
-    else:
-        raise ValueError(f"no simulation of gate {kind}")
-    return np.moveaxis(t, (1, 2), (axis(qubits[0]), axis(qubits[1]))).reshape(len(state), -1)
-
-
-def probabilities(df: DataFrame, key: str, n_qubits: int, circuit: str = "circuit") -> DataFrame:
-    """(key, probabilities) by state vectors of up to 12 qubits; rows with the same gates run together."""
-    if n_qubits > 12:
-        raise ValueError("up to 12 qubits are simulated")
-
-    def run(batches):
-        for batch in batches:
-            keys, circuits = batch.column(0), batch.column(1).to_pylist()
-            shapes: dict[tuple, list[int]] = {}
-            for i, gs in enumerate(circuits):
-                shapes.setdefault(tuple((g["type"], tuple(g["qubits"])) for g in gs), []).append(i)
-            out = np.zeros((len(circuits), 2**n_qubits))
-            for shape, rows in shapes.items():
-                state = np.zeros((len(rows), 2**n_qubits), complex)
-                state[:, 0] = 1
-                for k, (kind, qubits) in enumerate(shape):
-                    if kind == "initialize":
-                        state = np.array([circuits[i][k]["params"] for i in rows], complex)
-                    else:
-                        state = apply(state, kind, qubits, np.array([(circuits[i][k]["params"] or [0.0])[0] for i in rows]), n_qubits)
-                out[rows] = np.abs(state) ** 2
-            yield pa.record_batch([keys, pa.array(out.tolist(), pa.list_(pa.float64()))], [key, "probabilities"])
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(circuit)["gates"].alias("g")).mapInArrow(run, f"{key} {kind}, probabilities array<double>")
+def product_probabilities(angles: Column, n_qubits: int) -> Column:
+    """Probabilities of all 2^n outcomes after RY of each angle on its own qubit, qubit 0 lowest: products of squared
+    cosines (bit 0) and sines (bit 1). Null if an angle is missing."""
+    bit = lambda q, one: F.pow((F.sin if one else F.cos)(F.get(angles, F.lit(q)) / 2), F.lit(2.0))
+    return F.array(*[reduce(lambda a, b: a * b, [bit(q, k >> q & 1) for q in range(n_qubits)]) for k in range(2**n_qubits)])
+
+
+def from_qasm(text: Column) -> Column:
+    """Gates of an OpenQASM 2 text, as ``qasm`` writes it; lines without a gate on a register, such as headers, comments
+    and declarations, are passed over. Null stays null, an empty text has no gates."""
+    lines = F.filter(F.transform(F.split(text, "[;\\n]"), F.trim), lambda x: x.rlike(GATE_LINE) & ~x.rlike(r"^(qreg|creg|include|//)"))
+    values = lambda x, at, kind: F.transform(F.filter(F.split(F.regexp_extract(x, GATE_LINE, at), ","), lambda v: v != ""), lambda v: F.trim(v).cast(kind))
+    one = lambda x: F.struct(F.regexp_extract(x, GATE_LINE, 1).alias("type"), F.transform(F.regexp_extract_all(F.regexp_extract(x, GATE_LINE, 3), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda q: q.cast("int")).alias("qubits"), values(x, 2, "double").alias("params"))
+    return F.transform(lines, one)
+
+
+def cost_breakdown(df: DataFrame, n_gates: str, n_qubits: str, per_gate: float = 0.01, per_qubit: float = 0.001) -> DataFrame:
+    """(n_tasks, gate_cost, qubit_cost, total_cost) over all tasks; zeros without any."""
+    gate_cost, qubit_cost = (F.coalesce(F.sum(F.col(c) * each), F.lit(0.0)) for c, each in ((n_gates, per_gate), (n_qubits, per_qubit)))
+    return df.agg(F.count("*").alias("n_tasks"), gate_cost.alias("gate_cost"), qubit_cost.alias("qubit_cost"), (gate_cost + qubit_cost).alias("total_cost"))

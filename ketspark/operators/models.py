@@ -270,27 +270,11 @@ class Ensemble(Transformer):
         return df.withColumn("votes", votes).withColumn("prediction", F.when(F.col("votes") > 0, F.lit(high)).otherwise(F.lit(low)))
 
 
-def eigensolver(h: np.ndarray) -> float:
-    """Smallest eigenvalue of a Hermitian matrix."""
-    return float(np.linalg.eigvalsh(np.asarray(h)).min())
-
-
-def qaoa_parameters(layers: int = 1, seed: int = 42) -> np.ndarray:
-    """Parameter vector of the contract: two angles a layer."""
-    return np.random.default_rng(seed).uniform(0, 2 * np.pi, 2 * layers)
-
-
-def series_windows(df: DataFrame, order: str, value: str, lookback: int = 5, horizon: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """(by, order, x, y): sliding windows of ``lookback`` values and the next ``horizon``; series ``by`` key."""
+def series_windows(df: DataFrame, order: str, value: str, lookback: int = 5, horizon: int = 1, *, by: Sequence[str]) -> DataFrame:
+    """(by, order, x, y): sliding windows of ``lookback`` values and the next ``horizon``; series ``by`` key, which is needed
+    as one window over a whole table would be one task."""
+    if not by:
+        raise ValueError("series need a key")
     frame = W.partitionBy(*by).orderBy(order).rowsBetween(0, lookback + horizon - 1)
     rows = df.select(*by, order, F.collect_list(F.col(value)).over(frame).alias("__v")).where(F.size("__v") == lookback + horizon)
     return rows.select(*by, order, F.slice("__v", 1, lookback).alias("x"), F.slice("__v", lookback + 1, horizon).alias("y"))
-
-
-def rollout(x: Sequence[float], weights: Sequence[float], n_steps: int) -> list[float]:
-    """Autoregressive tanh rollout from one window."""
-    window, out = list(x), []
-    for _ in range(n_steps):
-        out.append(float(np.tanh(np.dot(window, weights))))
-        window = [*window[1:], out[-1]]
-    return out

@@ -24,7 +24,7 @@ class OutlierRemover(Transformer):
         self.method, self.threshold = one_of(method, ("iqr", "zscore", "distance"), "method"), threshold
 
     def fit(self, df):
-        self.params = column_stats(df, self.cols, (0.25, 0.75))
+        self.params = column_stats(df, self.cols, (0.25, 0.75) if self.method == "iqr" else ())
         if self.method == "distance":
             m, s = df.agg(F.avg(self._distance()), F.stddev_pop(self._distance())).first()
             self.limit = m + self.threshold * s

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.plans.stats import column_stats
+from ketspark.plans.stats import exact_percentiles
 
 
 def missing(c: Column) -> Column:
@@ -51,13 +52,13 @@ class DataValidator:
 def quality_report(df: DataFrame, cols: Sequence[str], min_completeness: float = 0.95, max_outlier_ratio: float = 0.05) -> DataFrame:
     """(completeness, valid, outlier_ratio, overall): missing cells, finite values, and the share of all
     cells outside Tukey's fences around the quartiles of all cells. With any missing cell the fences are unknown: ratio 0."""
-    cells = stacked(df, cols)
     value = F.when(~missing(F.col("value")), F.col("value"))
-    stats = cells.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count_if(missing(F.col("value"))).alias("n_missing"), F.count("*").alias("n"), F.count_if(F.coalesce(infinite(F.col("value")), F.lit(False))).alias("n_infinite"))
-    width = 1.5 * (F.col("q")[1] - F.col("q")[0])
-    outside = (F.col("value") < F.col("q")[0] - width) | (F.col("value") > F.col("q")[1] + width)
-    counts = cells.crossJoin(F.broadcast(stats.select("q"))).agg(F.count_if(outside).alias("n_out"))
-    out = stats.crossJoin(F.broadcast(counts)).select(
+    q = exact_percentiles(stacked(df, cols), {"value": value}, (0.25, 0.75))["value"] or [0.0, 0.0]
+    width = 1.5 * (q[1] - q[0])
+    outside = lambda x: (x < q[0] - width) | (x > q[1] + width)
+    over = lambda test: reduce(lambda a, b: a + b, [F.count_if(F.coalesce(test(F.col(c).cast("double")), F.lit(False))) for c in cols])
+    counts = df.agg(over(missing).alias("n_missing"), (F.count("*") * len(cols)).alias("n"), over(infinite).alias("n_infinite"), over(lambda x: ~missing(x) & outside(x)).alias("n_out"))
+    out = counts.select(
         (1 - F.try_divide("n_missing", "n")).alias("completeness"), ((F.col("n_missing") == 0) & (F.col("n_infinite") == 0)).alias("valid"),
         F.when(F.col("n_missing") > 0, 0.0).otherwise(F.try_divide("n_out", "n")).alias("outlier_ratio"),
     )
@@ -68,9 +69,10 @@ def quality_report(df: DataFrame, cols: Sequence[str], min_completeness: float =
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row a column: count, mean, population std, min, quartiles, max, population skewness and excess kurtosis."""
     one = []
+    quartiles = exact_percentiles(df, {c: F.col(c) for c in cols}, (0.25, 0.5, 0.75))
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in quartiles[c] or (None, None, None)]
         flat = F.stddev_pop(x) == 0
         one.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"),
@@ -114,7 +116,3 @@ class MetadataTracker:
     def lineage(self, spark) -> DataFrame:
         """Loads only."""
         return self.metadata(spark).where("kind = 'load'")
-
-
-def basic_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
-    return column_stats(df, cols)

@@ -75,65 +75,6 @@ def admitted(tasks: DataFrame, seq: str, need: str, capacity: int) -> DataFrame:
     return out.withColumn("fits", F.col("allocated") <= capacity).drop("__rn", "__block", "__own", "__before")
 
 
-class ResourceAllocator:
-    """Lowest free qubits first."""
-
-    def __init__(self, total_qubits: int = 127, max_depth: int = 1000):
-        self.total, self.max_depth = total_qubits, max_depth
-        self.tasks: dict[str, list[int]] = {}
-        self.usage: dict[str, dict] = {}
-
-    def allocate(self, task: str, n: int) -> list[int]:
-        used = {q for own in self.tasks.values() for q in own}
-        free = [q for q in range(self.total) if q not in used]
-        if task in self.tasks or n < 1 or n > len(free):
-            raise ValueError(f"cannot allocate {n} qubits to {task}")
-        self.tasks[task] = free[:n]
-        return free[:n]
-
-    def deallocate(self, task: str) -> None:
-        if task not in self.tasks:
-            raise ValueError(f"unknown task {task}")
-        del self.tasks[task]
-        self.usage.pop(task, None)
-
-    def update_usage(self, task: str, depth: int, n_gates: int) -> None:
-        if task not in self.tasks or depth > self.max_depth:
-            raise ValueError(f"unknown task {task}, or a depth over {self.max_depth}")
-        self.usage[task] = {"depth": depth, "n_gates": n_gates}
-
-    def summary(self) -> dict:
-        used = sum(map(len, self.tasks.values()))
-        return {"total_qubits": self.total, "allocated_qubits": used, "available_qubits": self.total - used, "active_tasks": len(self.tasks), "utilization": used / self.total}
-
-
-class PriorityQueue:
-    """Stable order by priority; full or empty is an error."""
-
-    def __init__(self, max_size: int = 100):
-        self.max_size, self.queue = max_size, []
-
-    def enqueue(self, task: str, priority: int = 5, resources: dict | None = None) -> None:
-        if len(self.queue) >= self.max_size:
-            raise ValueError("the queue is full")
-        self.queue.append((task, priority, resources or {}))
-        self.queue.sort(key=lambda x: -x[1])
-
-    def dequeue(self) -> tuple:
-        if not self.queue:
-            raise ValueError("the queue is empty")
-        return self.queue.pop(0)
-
-    def status(self) -> dict:
-        return {"size": len(self.queue), "max_size": self.max_size, "tasks": [t for t, _, _ in self.queue]}
-
-
-def noise_parameters(p: float = 0.01) -> list[tuple[str, str, float]]:
-    """(model, parameter, value) of the noise models."""
-    models = {"noisy": (p, 10 * p, 5 * p), "device_like": (p, 15 * p, 5 * p), "high_noise": (p, 20 * p, 8 * p), "noiseless": (0.0, 0.0, 0.0)}
-    return [(m, k, min(1.0, v)) for m, vs in models.items() for k, v in zip(("one_qubit", "two_qubit", "readout"), vs, strict=True)]
-
-
 def degraded_accuracy(accuracy: Column, p: float = 0.01) -> Column:
     """max(0, accuracy (1 - 30 p))."""
     return F.greatest(F.lit(0.0), accuracy * (1 - 30 * p))
@@ -161,10 +102,6 @@ def check_capacity(n_features: int, max_qubits: int = 127) -> bool:
     return True
 
 
-def optimize_level(backend: str) -> int:
-    return 1 if "simulator" in backend.lower() or "aer" in backend.lower() else 3
-
-
 def calibration(backend: dict | None, gate: str = "average") -> tuple[float, float]:
     """(gate error, readout error) of stored calibration data, with the defaults for what it lacks."""
     if backend is None:

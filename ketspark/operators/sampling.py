@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,6 +12,10 @@ from ketspark.base import one_of
 from ketspark.plans.numbering import numbered, shuffle_key
 
 
+#: rows of a class that one window ranks, about
+BUCKET = 50_000
+
+
 def check_ratios(*ratios: float) -> None:
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("the ratios must sum to 1")
@@ -31,9 +37,12 @@ def split(df: DataFrame, key: str, train: float = 0.7, val: float = 0.15, test:
 def ranked_in_class(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     """``df`` with __rank (0..) in its class and the class size __n.
 
-    Ranks are counted in buckets of the random order, so that a large class isn't one task."""
+    Ranks are counted in buckets of the random order, about BUCKET rows of the largest class each, so that no class is
+    one task, however large it is."""
     r = shuffle_key(key, seed)
-    dealt = df.withColumn("__r", r).withColumn("__b", F.conv(F.substring("__r", 1, 2), 16, 10).cast("int"))
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    digits = max(1, math.ceil(math.log(max(1, largest / BUCKET), 16)))
+    dealt = df.withColumn("__r", r).withColumn("__b", F.substring("__r", 1, digits))
     sizes = dealt.groupBy(label, "__b").agg(F.count("*").alias("__c"))
     whole = W.partitionBy(label)
     sizes = sizes.withColumn("__before", F.sum("__c").over(whole.orderBy("__b")) - F.col("__c")).withColumn("__n", F.sum("__c").over(whole))
@@ -96,5 +105,11 @@ def augment(df: DataFrame, cols: list[str], factor: int = 2, seed: int = 42) ->
     from ketspark.plans.stats import column_stats
 
     stats = column_stats(df, cols)
-    new = df.sparkSession.range(df.count() * factor).select(*[(F.randn(seed + i) * (stats[c]["std"] or 0.0) + stats[c]["mean"]).alias(c) for i, c in enumerate(cols)])
+    new = df.sparkSession.range(df.count() * factor).select(*[(gaussian("id", seed + i) * (stats[c]["std"] or 0.0) + (stats[c]["mean"] or 0.0)).alias(c) for i, c in enumerate(cols)])
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unionAll(new)
+
+
+def gaussian(key: str, seed: int) -> Column:
+    """Standard normal draws that follow from seed and key alone (Box-Muller on two numbers of an md5)."""
+    draw = lambda at: (F.conv(F.substring(shuffle_key(key, seed), at, 8), 16, 10).cast("long") + 0.5) / float(2**32)
+    return F.sqrt(-2 * F.log(draw(1))) * F.cos(2 * math.pi * draw(9))

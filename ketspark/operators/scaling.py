@@ -55,11 +55,10 @@ class DataTransformer(ColumnScaler):
 class FeatureScaler(ColumnScaler):
     """'standard', 'minmax' to a range, 'robust' (median, IQR), or 'quantum' (standard, then rows of norm 1)."""
 
-    percentiles = (0.25, 0.5, 0.75)
-
     def __init__(self, cols: Sequence[str], method: str = "standard", feature_range: tuple[float, float] = (0.0, 1.0)):
         super().__init__(cols)
         self.method, self.feature_range = one_of(method, ("standard", "minmax", "robust", "quantum"), "method"), feature_range
+        self.percentiles = (0.25, 0.5, 0.75) if method == "robust" else ()
 
     def expression(self, x, s):
         if self.method == "minmax":
@@ -105,13 +104,12 @@ class VectorNormalizer(Transformer):
 class RangeNormalizer(ColumnScaler):
     """'minmax', 'clip', 'robust' (first quartile and IQR) or 'sigmoid', to [low, high]."""
 
-    percentiles = (0.25, 0.75)
-
     def __init__(self, cols: Sequence[str], low: float = 0.0, high: float = 1.0, method: str = "minmax"):
         super().__init__(cols)
         if low >= high:
             raise ValueError("low must be below high")
         self.low, self.high, self.method = low, high, one_of(method, ("minmax", "clip", "robust", "sigmoid"), "method")
+        self.percentiles = (0.25, 0.75) if method == "robust" else ()
 
     def expression(self, x, s):
         z = (x - s["min"]) / or_one(s["max"] - s["min"])

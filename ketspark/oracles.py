@@ -30,7 +30,10 @@ select batch_id, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as
 sql("parquet_loader_batches", "select o_orderkey, cast(floor((row_number() over (order by o_orderkey) - 1) / 1000) as bigint) as batch_id from orders")
 sql("batch_count", "select greatest(1, cast(ceil(count(*) / 1000) as bigint)) as n_batches from orders")
 sql("sql_limit", "select c_custkey, c_name from customer where c_acctbal > 0 order by c_custkey limit 20")
-sql("parquet_metadata", "select count(*) as num_rows, cast(6 as bigint) as num_columns, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' as column_names, cast(1000 as bigint) as batch_size from part")
+sql("parquet_metadata", "select count(*) as num_rows, cast(6 as bigint) as num_columns, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' as column_names, cast(1000 as bigint) as batch_size, cast(1 as bigint) as num_row_groups, 'angle' as encoder_type from part")
+sql("parquet_row_group_batches", """
+with b as (select p_partkey, cast(floor((row_number() over () - 1) / 300) as bigint) as batch_id from part)
+select batch_id, count(*) as n, min(p_partkey) as first_key, max(p_partkey) as last_key from b group by batch_id""")
 sql("read_sample", "select * from part order by p_partkey limit 5")
 sql("format_unpivot", 'select p_partkey, \'p_size\' as "column", cast(p_size as double) as value from part union all select p_partkey, \'p_retailprice\', p_retailprice from part')
 sql("format_lists", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")
@@ -131,7 +134,8 @@ select p_partkey, cast(len(list_filter(edges, lambda x: x <= p_retailprice)) - 1
 sql("bin_uniform", """
 with s as (select cast(min(p_size) as double) as a, cast(max(p_size) as double) as b from part)
 select p_partkey, cast(len(list_filter([a, a + (b - a) / 4, a + (b - a) / 4 * 2, a + (b - a) / 4 * 3, b], lambda x: x <= p_size)) - 1 as bigint) as p_size_bin from part, s""")
-sql("hash_features", " union all ".join(f"select p_partkey, cast('0x' || substr(md5('{c}=' || {c}), 1, 8) as bigint) % 64 as bucket, case when cast('0x' || substr(md5('{c}=' || {c}), 9, 8) as bigint) % 2 = 0 then 1.0::double else -1.0 end as value from part" for c in ("p_brand", "p_type")))
+_hashed = " union all ".join(f"select p_partkey, cast('0x' || substr(md5('{c}=' || {c}), 1, 8) as bigint) % 64 as bucket, case when cast('0x' || substr(md5('{c}=' || {c}), 9, 8) as bigint) % 2 = 0 then 1.0::double else -1.0 end as value from part" for c in ("p_brand", "p_type"))
+sql("hash_features", f"select p_partkey, bucket, sum(value) as value from ({_hashed}) group by 1, 2")
 
 # G
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -246,7 +250,7 @@ sql("compliance_sensitivity", "with t as (select c_custkey, case when c_custkey
 sql("resource_limit_violations", "select l_suppkey, sum(l_quantity) as used from lineitem join supplier on l_suppkey = s_suppkey group by l_suppkey, s_acctbal having sum(l_quantity) > abs(s_acctbal) * 2")
 sql("retention_violations", "select o_orderkey, date_diff('day', cast(o_orderdate as date), date '2000-01-01') as age_days from orders where date_diff('day', cast(o_orderdate as date), date '2000-01-01') > 2000")
 sql("governance_catalog", "select doc_id, coalesce(case when doc_id % 3 <> 0 then source end, 'unknown') as owner, coalesce(lang, 'unknown') as classification, 'unknown' as created_date, coalesce(source, 'unknown') as source from documents")
-sql("governance_owners", "select s_nationkey as owner, count(*) as n, string_agg(cast(s_suppkey as varchar), ',' order by cast(s_suppkey as varchar)) as datasets from supplier group by 1")
+sql("governance_owners", "select cast(s_nationkey as varchar) as owner, s_suppkey as dataset, count(*) over (partition by s_nationkey) as n from supplier")
 sql("lineage_closure", """
 with recursive c(dataset, ancestor, depth) as (
 select p_partkey, p_partkey // 4, cast(1 as bigint) from part where p_partkey // 4 > 0
@@ -262,3 +266,28 @@ sql("security_anomalies", "select user_id, count(*) filter (event_type = 'error'
 sql("encryption_round_trip", "select c_custkey, c_name as name from customer")
 sql("schedule_by_time", "select event_id, row_number() over (order by ts, event_id) - 1 as place from events")
 sql("ext_event_windows", f"select cast(cast(ts as date) as varchar) as start, count(*) as n, {r('avg(value)')} as mean from events group by 1")
+
+# What the first round lacked
+sql("batch_merge", "select count(*) as n, max(o_totalprice) as largest from orders")
+sql("buffer_flush", f"""
+with b as (select value, cast(floor((row_number() over (order by ts, event_id) - 1) / 128) as bigint) as flush_id from events)
+select flush_id, count(*) as n, {r('avg(value)')} as mean from b group by flush_id""")
+sql("augment_gaussian", "with s as (select " + ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as s{i}" for i, c in enumerate(("p_size", "p_retailprice"))) + " from part), k as (select range as id from range((select 2 * count(*) from part))) select " + ", ".join(
+    f"round(sqrt(-2 * ln((cast('0x' || substr(md5('{42 + i}-' || id), 1, 8) as bigint) + 0.5) / 4294967296)) * cos(2 * pi() * (cast('0x' || substr(md5('{42 + i}-' || id), 9, 8) as bigint) + 0.5) / 4294967296) * s{i} + m{i}, 4) + 0.0 as {c}"
+    for i, c in enumerate(("p_size", "p_retailprice"))) + " from k, s union all select round(cast(p_size as double), 4), round(p_retailprice, 4) from part")
+sql("qasm_round_trip", ORACLE_SQL["encode_iqp"])
+sql("lineage_of_dataset", """
+with recursive e as (select p_partkey, p_partkey // 4 as parent from part where p_partkey // 4 > 0),
+a as (select p_partkey as dataset, parent as ancestor, cast(1 as bigint) as depth from e where p_partkey = 150 union all select a.dataset, e.parent, a.depth + 1 from a join e on e.p_partkey = a.ancestor)
+select dataset, ancestor, depth from a""")
+_policies = "p as (select * from (values ('discounts', 'l_discount', 0.09::double), ('bulk', 'l_quantity', 49.0::double), ('none', 'l_tax', 1.0::double)) t(policy, measure, \"limit\"))"
+_cells = " union all ".join(f"select l_orderkey || '-' || l_linenumber as key, '{c}' as measure, {c} as value from lineitem" for c in ("l_discount", "l_quantity", "l_tax"))
+sql("policy_violations", f'with {_policies}, c as ({_cells}) select policy, key, measure, value, "limit" from c join p using (measure) where value > "limit"')
+sql("compliance_report", f'with {_policies}, c as ({_cells}) select policy, measure, "limit", count(value) as n_violations, max(value) as worst from p left join c on c.measure = p.measure and value > "limit" group by all'.replace("select policy, measure,", "select policy, p.measure as measure,"))
+_alerts = "with a as (select user_id, 'critical ' || event_type as reason, count(*) as n from events where value > 95 group by 1, 2 union all select user_id, 'failed attempts', count(*) filter (event_type = 'error') from events group by 1 having count(*) filter (event_type = 'error') > 2)"
+sql("security_alerts", f"{_alerts} select * from a")
+sql("security_report", f"{_alerts} select count(*) as n_events, count(distinct event_type) as n_kinds, (select count(*) from a) as n_alerts from events")
+sql("key_rotation", "select c_custkey, c_name as name from customer")
+sql("cost_breakdown", f"""
+with m as (select vec_id, count(*) as n_gates from ({ORACLE_SQL['encode_iqp']}) group by vec_id)
+select count(*) as n_tasks, {r('sum(n_gates * 0.01::double)')} as gate_cost, {r('sum((vec_id % 5 + 1) * 0.001::double)')} as qubit_cost, {r('sum(n_gates * 0.01::double) + sum((vec_id % 5 + 1) * 0.001::double)')} as total_cost from m""")

@@ -1,26 +1,111 @@
-"""All statistics of all columns in one aggregate."""
+"""Statistics of columns: one aggregate for moments and ranges, a few narrow passes for exact percentiles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: distinct values around a rank that may come to the driver
+FEW = 20_000
+#: accuracy of the approximate percentiles that bound a rank, and the share of rows left on either side of it
+ACCURACY = 2_000
+SLACK = 2.0 / ACCURACY
+
 
 def column_stats(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = ()) -> dict[str, dict]:
-    """n, mean, population std, min, max, largest absolute value and exact percentiles of each column."""
+    """n, mean, population std, min, max, largest absolute value and exact percentiles of each column.
+
+    Nulls don't count; a column without values has None throughout and no percentiles. NaN is the largest value."""
     if not cols:
         return {}
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
         parts += [F.count(x), F.avg(x), F.stddev_pop(x), F.min(x), F.max(x), F.max(F.abs(x))]
-        parts += [F.percentile(x, F.array(*[F.lit(float(p)) for p in percentiles]))] if percentiles else []
     row = df.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first()
-    step = 6 + bool(percentiles)
+    exact = exact_percentiles(df, {c: F.col(c) for c in cols}, percentiles) if percentiles else {}
     out = {}
     for i, c in enumerate(cols):
-        n, mean, std, low, high, top, *qs = row[i * step : (i + 1) * step]
-        out[c] = {"n": n, "mean": mean, "std": std, "min": low, "max": high, "top": top, "q": dict(zip(percentiles, qs[0], strict=True)) if qs and qs[0] else {}}
+        n, mean, std, low, high, top = row[i * 6 : (i + 1) * 6]
+        out[c] = {"n": n, "mean": mean, "std": std, "min": low, "max": high, "top": top, "q": dict(zip(percentiles, exact[c], strict=True)) if exact.get(c) else {}}
+    return out
+
+
+def exact_percentiles(df: DataFrame, cols: Mapping[str, Column], percentiles: Sequence[float]) -> dict[str, list[float] | None]:
+    """Percentiles of each expression, interpolated between neighbours in order; None without values.
+
+    No task gathers a column: each rank is closed in between two values by approximate percentiles, again and
+    again inside the last bounds, with exact counts below and inside; only when few distinct values are left between
+    the bounds are these counted and brought to the driver."""
+    rows = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(cols.values())])
+    sizes = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
+    ranks = {(i, r) for i, n in enumerate(sizes) if n for p in percentiles for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+    # (column, rank) -> (lower bound, upper bound, rows below the lower one, rows inside)
+    bounds: dict[tuple[int, int], tuple] = {(i, r): (None, None, 0, sizes[i]) for i, r in ranks}
+    value: dict[tuple[int, int], float] = {}
+    while bounds:
+        found = _narrowed(rows, bounds)
+        few = {k: b for k, (b, distinct) in found.items() if distinct <= FEW}
+        value |= _looked_up(rows, few)
+        bounds = {k: b for k, (b, _) in found.items() if k not in few}
+    out: dict[str, list[float] | None] = {}
+    for i, name in enumerate(cols):
+        at = [p * (sizes[i] - 1) for p in percentiles]
+        out[name] = [_between(value[i, math.floor(x)], value[i, math.ceil(x)], x) for x in at] if sizes[i] else None
+    return out
+
+
+def _between(low: float, high: float, at: float) -> float:
+    share = at - math.floor(at)
+    return low if share == 0 or low == high else (1 - share) * low + share * high
+
+
+def _inside(i: int, low: float | None, high: float | None) -> Column:
+    x = F.col(f"v{i}")
+    ok = x.isNotNull()
+    if low is not None:
+        ok &= x >= F.lit(low)
+    return ok if high is None else ok & (x <= F.lit(high))
+
+
+def _narrowed(rows: DataFrame, bounds: dict) -> dict:
+    """(closer bounds, about how many distinct values are inside) of each rank."""
+    keys = list(bounds)
+    parts = []
+    for i, r in keys:
+        low, high, below, n = bounds[i, r]
+        share = (r - below) / n
+        ends = F.array(F.lit(max(0.0, share - SLACK)), F.lit(min(1.0, share + SLACK)))
+        parts.append(F.percentile_approx(F.when(_inside(i, low, high), F.col(f"v{i}")), ends, ACCURACY))
+    closer = rows.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first()
+    parts = []
+    for (i, _), (low, high) in zip(keys, closer, strict=True):
+        parts += [F.count_if(F.col(f"v{i}") < F.lit(low)), F.count_if(_inside(i, low, high)), F.approx_count_distinct(F.when(_inside(i, low, high), F.col(f"v{i}")))]
+    counts = rows.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first()
+    out = {}
+    for k, ((i, r), (low, high)) in enumerate(zip(keys, closer, strict=True)):
+        below, n, distinct = counts[3 * k : 3 * k + 3]
+        if low == high and below <= r < below + n:
+            distinct = 1
+        # an approximation that missed the rank, or that can't get closer: what was there before is counted as it is
+        old = bounds[i, r]
+        out[i, r] = ((low, high, below, n), distinct) if below <= r < below + n and n < old[3] else (old, 0)
+    return out
+
+
+def _looked_up(rows: DataFrame, bounds: dict) -> dict[tuple[int, int], float]:
+    """Values of ranks with few distinct values between their bounds: these are counted by value."""
+    keys = list(bounds)
+    if not keys:
+        return {}
+    cells = F.array_compact(F.array(*[F.when(_inside(i, *bounds[i, r][:2]), F.struct(F.lit(k).alias("k"), F.col(f"v{i}").alias("x"))) for k, (i, r) in enumerate(keys)]))
+    counted = rows.select(F.explode(cells).alias("cell")).groupBy("cell.k", "cell.x").count().orderBy("k", "x").collect()
+    out, passed = {}, [bounds[k][2] for k in keys]
+    for k, x, n in counted:
+        passed[k] += n
+        if keys[k] not in out and passed[k] > keys[k][1]:
+            out[keys[k]] = x
     return out

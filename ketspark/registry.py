@@ -10,7 +10,7 @@ from ketspark.governance import audit, integrity, workflow
 from ketspark.operators import categorical, circuits, kernel, models, outliers, quality, reduction, resources, sampling, scaling, selection
 from ketspark.operators import encoders as enc
 from ketspark.plans.numbering import numbered
-from ketspark.sources.loaders import ParquetLoader, SqlLoader, to_long
+from ketspark.sources.loaders import ParquetLoader, SqlLoader, to_lists, to_long
 from ketspark.streaming import buffers
 
 QUERIES: dict = {}
@@ -72,6 +72,12 @@ def parquet_metadata(spark, d):
     return ParquetLoader(spark, f"{d}/part.parquet", "p_partkey").metadata()
 
 
+@query
+def parquet_row_group_batches(spark, d):
+    rows = ParquetLoader(spark, f"{d}/part.parquet", "p_partkey", 300).row_group_batches()
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+
+
 @query
 def parquet_schema(spark, d):
     return ParquetLoader(spark, f"{d}/part.parquet", "p_partkey").schema()
@@ -89,7 +95,7 @@ def format_unpivot(spark, d):
 
 @query
 def format_lists(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    return to_lists(table(spark, d, "nation"), "n_regionkey", "n_name")
 
 
 # B: batches and buffers
@@ -119,8 +125,7 @@ def validate_frame(spark, d):
 def _aggregate(method):
     def run(spark, d):
         e = table(spark, d, "events")
-        parts = [e.where(F.col("event_type") == k) for k in [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]]
-        return rounded(buffers.aggregate_batches(parts, ["value"], method), "value")
+        return rounded(buffers.aggregate_batches(e, "event_type", ["value"], method), "value")
 
     return run
 
@@ -142,6 +147,24 @@ def batch_statistics(spark, d):
     return rounded(buffers.batch_statistics(table(spark, d, "lineitem"), "l_returnflag", ["l_discount", "l_tax"]), "mean", "std")
 
 
+@query
+def batch_merge(spark, d):
+    def stats(b):
+        return b.groupby("batch_id", as_index=False).agg(n=("o_orderkey", "size"), largest=("o_totalprice", "max"))[["n", "largest"]]
+
+    def merge(parts):
+        return parts.agg({"n": "sum", "largest": "max"}).to_frame().T.astype({"n": "int64"})
+
+    results = buffers.process_batches(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, stats, "n long, largest double")
+    return buffers.merge_batches(results, merge, "n long, largest double")
+
+
+@query
+def buffer_flush(spark, d):
+    rows = buffers.flushed(table(spark, d, "events").select("event_id", "value", "ts"), ["ts", "event_id"], 128)
+    return rounded(rows.groupBy("flush_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
+
+
 # C: quality
 
 
@@ -215,7 +238,7 @@ def balance_info(spark, d):
 
 @query
 def augment_gaussian(spark, d):
-    return sampling.augment(table(spark, d, "part"), ["p_size", "p_retailprice"])
+    return rounded(sampling.augment(table(spark, d, "part"), ["p_size", "p_retailprice"]), "p_size", "p_retailprice", n=4)
 
 
 # E: scaling
@@ -481,7 +504,7 @@ def ensemble_shards(spark, d):
 @query
 def series_windows(spark, d):
     daily = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("v"))
-    rows = models.series_windows(daily, "day", "v", 3, 1, ["event_type"])
+    rows = models.series_windows(daily, "day", "v", 3, 1, by=["event_type"])
     return rows.select("event_type", F.col("day").cast("string").alias("day"), *[F.get("x", F.lit(i)).alias(f"lag{3 - i}") for i in range(3)], F.get("y", F.lit(0)).alias("next"))
 
 
@@ -575,6 +598,20 @@ def circuit_cost(spark, d):
     return out.select("vec_id", seconds.alias("seconds"), price.alias("price"), F.round(circuits.linear_cost(F.col("n_gates"), DIMS), 6).alias("cost"))
 
 
+@query
+def cost_breakdown(spark, d):
+    out = circuits.metrics(iqp(spark, d), "vec_id", DIMS).withColumn("n_qubits", F.col("vec_id") % 5 + 1)
+    return rounded(circuits.cost_breakdown(out, "n_gates", "n_qubits"), "gate_cost", "qubit_cost", "total_cost")
+
+
+@query
+def qasm_round_trip(spark, d):
+    rows = iqp(spark, d)
+    text = rows.select("vec_id", circuits.qasm(F.col("circuit"), DIMS).alias("qasm"))
+    back = text.select("vec_id", F.struct(F.lit(DIMS).alias("n_qubits"), circuits.from_qasm(F.col("qasm")).alias("gates")).alias("circuit"))
+    return rounded(enc.exploded(back, "vec_id"), "param")
+
+
 @query
 def feasibility(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
@@ -583,7 +620,7 @@ def feasibility(spark, d):
 
 @query
 def simulated_probabilities(spark, d):
-    rows = circuits.probabilities(enc.AngleEncoder(2, "ry", n_features=2).transform(feature_rows(spark, d, 2)), "vec_id", 2)
+    rows = feature_rows(spark, d, 2).select("vec_id", circuits.product_probabilities(F.col("features"), 2).alias("probabilities"))
     return rounded(rows.select("vec_id", *[F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(4)]), "p0", "p1", "p2", "p3")
 
 
@@ -712,6 +749,27 @@ def governance_owners(spark, d):
     return audit.owners(table(spark, d, "supplier"), F.col("s_nationkey"), "s_suppkey")
 
 
+@query
+def lineage_of_dataset(spark, d):
+    sets = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 4).cast("long").alias("parent")).where("parent > 0")
+    return audit.ancestors(sets, "p_partkey", "parent", 150)
+
+
+def policies(spark):
+    return spark.createDataFrame([("discounts", "l_discount", 0.09), ("bulk", "l_quantity", 49.0), ("none", "l_tax", 1.0)], "policy string, measure string, limit double")
+
+
+@query
+def policy_violations(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return audit.violations(rows, policies(spark), "key", ["l_discount", "l_quantity", "l_tax"])
+
+
+@query
+def compliance_report(spark, d):
+    return audit.compliance_report(policy_violations(spark, d), policies(spark))
+
+
 @query
 def lineage_closure(spark, d):
     sets = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 4).cast("long").alias("parent")).where("parent > 0")
@@ -746,6 +804,24 @@ def security_anomalies(spark, d):
     return audit.failed_attempts(table(spark, d, "events"), "user_id", failed(), 2)
 
 
+@query
+def security_alerts(spark, d):
+    e = table(spark, d, "events")
+    return audit.alerts(e, "user_id", "event_type", F.when(F.col("value") > 95, "critical").otherwise("info"), failed(), 2)
+
+
+@query
+def security_report(spark, d):
+    return audit.security_report(table(spark, d, "events"), security_alerts(spark, d), "event_type")
+
+
+@query
+def key_rotation(spark, d):
+    old, new = b"0123456789abcdef", b"fedcba9876543210"
+    rows = table(spark, d, "customer").select("c_custkey", audit.rotated(audit.encrypted(F.col("c_name"), old), old, new).alias("secret"))
+    return rows.select("c_custkey", audit.decrypted(F.col("secret"), new).alias("name"))
+
+
 @query
 def encryption_round_trip(spark, d):
     key = b"0123456789abcdef"
@@ -765,4 +841,3 @@ def schedule_by_time(spark, d):
 def ext_event_windows(spark, d):
     out = buffers.windowed(table(spark, d, "events"), "ts", "value", "1 day")
     return rounded(out.withColumn("start", F.col("start").cast("date").cast("string")), "mean")
-

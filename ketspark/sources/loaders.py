@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
@@ -14,6 +16,7 @@ from ketspark.functions.arrays import features
 from ketspark.operators.circuits import qasm
 from ketspark.operators.encoders import CIRCUIT, RotationEncoder, StatevectorEncoder
 from ketspark.plans.numbering import batch_ids
+from ketspark.plans.storage import shared_dir
 
 
 class DataLoader:
@@ -38,9 +41,12 @@ class DataLoader:
         return -(-self.df.count() // self.batch_size)
 
     def __iter__(self) -> Iterator[DataFrame]:
+        """Batch after batch; the numbered rows are stored by batch, so that a batch reads its own files alone."""
+        spark, path = self.df.sparkSession, f"{shared_dir(self.df.sparkSession)}/batches-{uuid.uuid4().hex}"
         own = self.batches()
+        own.repartitionByRange("batch_id").write.partitionBy("batch_id").parquet(path)
         for b in range(len(self)):
-            yield own.where(F.col("batch_id") == b).drop("batch_id")
+            yield spark.read.schema(own.schema).parquet(path).where(F.col("batch_id") == b).drop("batch_id")
 
 
 class SqlLoader(DataLoader):
@@ -75,9 +81,41 @@ class ParquetLoader(DataLoader):
         super().__init__(df, key, batch_size, encoder)
 
     def metadata(self) -> DataFrame:
-        """(num_rows, num_columns, column_names, batch_size)."""
+        """(num_rows, num_columns, num_row_groups, column_names, batch_size, encoder_type)."""
         names = self.df.columns
-        return self.df.agg(F.count("*").alias("num_rows")).select("num_rows", F.lit(len(names)).cast("long").alias("num_columns"), F.lit(",".join(names)).alias("column_names"), F.lit(self.batch_size).cast("long").alias("batch_size"))
+        groups = F.lit(self.row_groups().count()).cast("long")
+        out = self.df.agg(F.count("*").alias("num_rows")).select("num_rows", F.lit(len(names)).cast("long").alias("num_columns"), F.lit(",".join(names)).alias("column_names"), F.lit(self.batch_size).cast("long").alias("batch_size"))
+        return out.withColumns({"num_row_groups": groups, "encoder_type": F.lit(self.encoder)})
+
+    def row_groups(self) -> DataFrame:
+        """(file, row_group, first_row, n_rows), from the files' footers alone; row groups without rows are left out."""
+        spark = self.df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        rows = []
+        for path in self.df.inputFiles():
+            first, reader = 0, jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+            try:
+                for k, block in enumerate(reader.getRowGroups()):
+                    n = block.getRowCount()
+                    rows += [(path, k, first, n)] if n else []
+                    first += n
+            finally:
+                reader.close()
+        return spark.createDataFrame(rows, "file string, row_group int, first_row long, n_rows long")
+
+    def row_group_batches(self) -> DataFrame:
+        """Rows with batch_id, in the files' own order: batches of ``batch_size`` rows that never span a row group. Each row
+        finds its row group by its file and its place there; nothing is sorted or shuffled."""
+        groups = self.row_groups().withColumn("__n", F.ceil(F.col("n_rows") / self.batch_size)).orderBy("file", "row_group").collect()
+        spark, by_file, passed = self.df.sparkSession, {}, 0
+        for g in groups:
+            by_file.setdefault(re.sub("^file:/+", "/", g["file"]), []).append((g["first_row"], passed))
+            passed += g["__n"]
+        table = spark.createDataFrame(list(by_file.items()), "__file string, __groups array<struct<first:long,batch:long>>")
+        own = self.df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        joined = own.join(F.broadcast(table) if len(groups) <= 100_000 else table, "__file")
+        group = F.element_at(F.filter("__groups", lambda g: g["first"] <= F.col("__row")), -1)
+        return joined.withColumn("batch_id", (group["batch"] + F.floor((F.col("__row") - group["first"]) / self.batch_size)).cast("long")).drop("__file", "__row", "__groups")
 
     def schema(self) -> DataFrame:
         return self.df.sparkSession.createDataFrame(self.df.dtypes, "column_name string, data_type string")
@@ -93,6 +131,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def to_lists(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, names): the distinct values of a key in order, joined by commas; for columns of few distinct values."""
+    return df.select(key, col).distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(col)), ",").alias("names"))
+
+
 def to_long(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """(key, column, value): one row a cell."""
     return df.unpivot([key], [F.col(c).cast("double").alias(c) for c in cols], "column", "value")
@@ -109,15 +152,29 @@ def load_circuits(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_corrupt is null and circuit is not null").drop("_corrupt")
 
 
-def save_params(params: dict, path: str) -> None:
-    """Fitted numbers as JSON."""
-    with open(path, "w") as f:
-        json.dump(params, f)
+def save_params(params: dict, path: str, spark: SparkSession) -> None:
+    """Fitted parameters to a folder that the cluster shares: numbers and lists as JSON, tables as Parquet beside it."""
+    plain, tables = {}, {}
+
+    def parted(x, name: str):
+        if isinstance(x, DataFrame):
+            tables[name] = x
+            return {"__table": name}
+        return {str(k): parted(v, f"{name}-{k}") for k, v in x.items()} if isinstance(x, dict) else x
+
+    plain = parted(params, "params")
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.text(f"{path}/params")
+
 
+def load_params(path: str, spark: SparkSession) -> dict:
+    def joined(x):
+        if isinstance(x, dict):
+            return spark.read.parquet(f"{path}/{x['__table']}") if "__table" in x else {k: joined(v) for k, v in x.items()}
+        return x
 
-def load_params(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
+    return joined(json.loads(spark.read.text(f"{path}/params").first()[0]))
 
 
 class Connectors:

@@ -1,17 +1,16 @@
-"""Sliding buffers, batch aggregates and a frame cache; batch forms and Structured Streaming forms."""
+"""Sliding buffers and batch aggregates; batch forms and Structured Streaming forms."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.functions.arrays import total
 from ketspark.plans.numbering import batch_ids, numbered, shuffle_key
+from ketspark.plans.storage import stored
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -34,11 +33,13 @@ def shuffled_batches(df: DataFrame, key: str, batch_size: int, seed: int = 42) -
     return rows.withColumn("batch_id", F.floor(F.col("rn") / batch_size).cast("long")).drop("rn", "__r")
 
 
-def aggregate_batches(batches: Sequence[DataFrame], cols: Sequence[str], method: str = "mean") -> DataFrame:
-    """One row: each column over all batches by 'mean', 'max', 'min' or 'sum'; any other method means."""
-    whole = reduce(lambda a, b: a.unionByName(b), batches)
-    f = {"max": F.max, "min": F.min, "sum": F.sum}.get(method, F.avg)
-    return whole.agg(*[f(F.col(c).cast("double")).alias(c) for c in cols])
+def aggregate_batches(df: DataFrame, batch: str, cols: Sequence[str], method: str = "mean") -> DataFrame:
+    """One row: each column over all batches by 'mean', 'max', 'min' or 'sum'; any other method means. Every batch is
+    reduced to its sums, counts and extremes first, in one pass; without rows the result is null."""
+    x = [F.col(c).cast("double") for c in cols]
+    each = [f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("s", F.sum), ("n", F.count), ("a", F.min), ("b", F.max))]
+    merged = {"max": lambda i: F.max(f"b{i}"), "min": lambda i: F.min(f"a{i}"), "sum": lambda i: F.sum(f"s{i}")}.get(method, lambda i: F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")))
+    return df.groupBy(batch).agg(*each).agg(*[merged(i).alias(c) for i, c in enumerate(cols)])
 
 
 def batch_statistics(df: DataFrame, batch: str, cols: Sequence[str]) -> DataFrame:
@@ -50,42 +51,30 @@ def batch_statistics(df: DataFrame, batch: str, cols: Sequence[str]) -> DataFram
 
 
 def process_batches(df: DataFrame, key: str, batch_size: int, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``function`` of each batch in key order, run on the executors; its results in one table."""
+    """``function`` of each batch in key order, run on the executors; its results in one table, which a caller may
+    reduce further by ``merge``."""
     return batch_ids(df, key, batch_size).groupBy("batch_id").applyInPandas(lambda b: function(b.sort_values(key)), schema)
 
 
-class FrameCache:
-    """Persisted frames by name; the least often used one goes first, the oldest of equals."""
-
-    def __init__(self, max_size: int = 100):
-        self.max_size, self.frames, self.uses, self.hits, self.misses = max_size, {}, {}, 0, 0
-
-    def get(self, name: str) -> DataFrame | None:
-        if name not in self.frames:
-            self.misses += 1
-            return None
-        self.hits += 1
-        self.uses[name] += 1
-        return self.frames[name]
-
-    def put(self, name: str, df: DataFrame) -> None:
-        if name not in self.frames and len(self.frames) >= self.max_size:
-            self._drop(min(self.uses, key=self.uses.get))
-        if name in self.frames:
-            self._drop(name)
-        self.frames[name], self.uses[name] = df.persist(StorageLevel.MEMORY_AND_DISK), 0
-
-    def _drop(self, name: str) -> None:
-        self.frames.pop(name).unpersist()
-        del self.uses[name]
-
-    def stats(self) -> dict:
-        asked = self.hits + self.misses
-        return {"size": len(self.frames), "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
-
-    def clear(self) -> None:
-        for name in list(self.frames):
-            self._drop(name)
+def merge_batches(results: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 10_000) -> DataFrame:
+    """Results of batches reduced to one by a caller's ``function`` (frame -> smaller frame of ``schema``), which must not
+    mind in which order and in how many steps it is applied: it meets ``rows`` rows at a time, then the outcomes of that,
+    until one step takes all. Without results there is nothing."""
+    while True:
+        left = results.count()
+        parts = -(-left // rows)
+        dealt = results.repartition(max(1, parts)).mapInPandas(lambda frames: (function(pd.concat(own)) for own in [list(frames)] if own), schema)
+        results = stored(dealt, "merged")
+        if parts <= 1:
+            return results
+        if results.count() >= left:
+            raise ValueError("the function must return fewer rows than it gets")
+
+
+def flushed(df: DataFrame, order: Sequence[str], capacity: int) -> DataFrame:
+    """``df`` with flush_id: a buffer that takes rows by ``order`` is emptied each time it holds ``capacity``; the rows
+    that it still holds at the end are the last flush."""
+    return numbered(df, *order).withColumn("flush_id", F.floor(F.col("rn") / capacity).cast("long")).drop("rn")
 
 
 def stream_tail(stream: DataFrame, by: str, value: str, size: int) -> DataFrame:
