@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ketspark.llm.common import STRETCH, grams, join_spread, mix, portions, release, stored
 
-#: An anchor found more often than this is handled window by window.
-HOT = 256
+#: An anchor found more often than this is handled window by window. Its segments would be a row for each place; cut into
+#: windows they are up to some hundred rows a task, but no more however often the anchor is found.
+HOT = 4096
 #: Bound of one filter, in bits (32 MB): what is broadcast does not grow with the corpus.
 MAX_BITS = 1 << 28
 #: most anchors that the filters hold well, at 12 bits each

@@ -43,7 +43,7 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("hot,filtered", [(256, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
+@pytest.mark.parametrize("hot,filtered", [(4096, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
 def test_substring_dedup(docs, none, hot, filtered, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
     monkeypatch.setattr(anchors, "FILTERED", filtered)
@@ -74,7 +74,7 @@ def test_match_reference(docs):
         substring_dedup.match_reference(docs, ["a " * 300_000])
 
 
-@pytest.mark.parametrize("hot,filtered", [(256, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
+@pytest.mark.parametrize("hot,filtered", [(4096, anchors.FILTERED), (1, anchors.FILTERED), (4, 0)])
 def test_suffix_dedup(docs, none, hot, filtered, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
     monkeypatch.setattr(anchors, "FILTERED", filtered)
