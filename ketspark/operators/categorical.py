@@ -115,7 +115,7 @@ def digitize(x: Column, edges: Sequence[float]) -> Column:
     """Number of edges up to x, less one: below the first edge -1, at the last edge one more bin. Null without edges or x."""
     if not edges:
         return F.lit(None).cast("long")
-    return (F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1).cast("long")
+    return F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1).cast("long")
 
 
 class BinningEncoder(Transformer):

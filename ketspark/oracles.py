@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ketspark.operators.reduction import gaussian_matrix
 
 ORACLE_SQL: dict[str, str] = {}
@@ -291,3 +293,15 @@ sql("key_rotation", "select c_custkey, c_name as name from customer")
 sql("cost_breakdown", f"""
 with m as (select vec_id, count(*) as n_gates from ({ORACLE_SQL['encode_iqp']}) group by vec_id)
 select count(*) as n_tasks, {r('sum(n_gates * 0.01::double)')} as gate_cost, {r('sum((vec_id % 5 + 1) * 0.001::double)')} as qubit_cost, {r('sum(n_gates * 0.01::double) + sum((vec_id % 5 + 1) * 0.001::double)')} as total_cost from m""")
+
+_rel = [("l_quantity", "l_extendedprice"), ("l_discount", "l_extendedprice"), ("l_tax", "l_extendedprice")]
+_f = ["l_quantity", "l_discount", "l_tax"]
+sql("feature_relevance", "with f as (" + " union all ".join(f"select {i} as i, '{a}' as feature, abs(corr({a}, {b})) as v from lineitem" for i, (a, b) in enumerate(_rel)) + "), c as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, abs(corr({a}, {b})) as w from lineitem" for a in _f for b in _f if a != b) + f"""),
+p1 as (select * from f order by round(v, 12) desc, i limit 1),
+p2 as (select f.* from f, p1, c where c.a = p1.feature and c.b = f.feature order by round(round(f.v, 12) - w, 12) desc, f.i limit 1),
+p3 as (select * from f where feature not in (select feature from p1 union all select feature from p2))
+select cast(k as bigint) as rank, feature, {r('v')} as relevance from (select 0 as k, * from p1 union all select 1, * from p2 union all select 2, * from p3)""")
+_vectors = f"with {VECTORS} select vec_id, round(tanh("
+sql("neural_net", f"{_vectors}(x0 + x1 + x2 + x3) * {float(np.random.default_rng(42).standard_normal(8).sum() * 0.1)!r}::double), 6) + 0.0 as prediction from v")
+sql("meta_learner", f"{_vectors}(x0 + x1 + x2 + x3) * {float(np.random.default_rng(42).standard_normal(4).mean() * 0.1)!r}::double), 6) + 0.0 as prediction from v")
+sql("transfer_learning", _vectors + " + ".join(f"x{i} * {float(w)!r}::double" for i, w in enumerate(np.random.default_rng(42).standard_normal(4))) + "), 6) + 0.0 as prediction from v")

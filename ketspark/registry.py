@@ -483,17 +483,17 @@ def autoencoder_decompress(spark, d):
 
 @query
 def neural_net(spark, d):
-    return models.NeuralNetwork(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction")
+    return rounded(models.NeuralNetwork(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction"), "prediction")
 
 
 @query
 def meta_learner(spark, d):
-    return models.MetaLearner(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction")
+    return rounded(models.MetaLearner(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction"), "prediction")
 
 
 @query
 def transfer_learning(spark, d):
-    return models.TransferLearning(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction")
+    return rounded(models.TransferLearning(X).fit_transform(vectors(spark, d)).select("vec_id", "prediction"), "prediction")
 
 
 @query
