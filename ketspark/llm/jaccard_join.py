@@ -270,3 +270,19 @@ def has_repeats(member: DataFrame) -> bool:
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+with recursive t as (select doc_id, coalesce(text, '') as text from documents),
+c as (select text, min(doc_id) as rep, count(*) as n_copies from t group by text),
+w as (select rep, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from c),
+s as (select distinct rep, w[i:i + 4] as g from (select rep, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+z as (select rep, count(*) as n from s group by rep),
+p as (select a.rep as a, b.rep as b, count(*) as shared from s a join s b on a.g = b.g and a.rep < b.rep group by 1, 2),
+l as (select a, b from p join z x on x.rep = a join z y on y.rep = b where shared >= 0.8 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as rep, b as other from e union select r.rep, e.b from reach r join e on e.a = r.other),
+k as (select rep, min(least(rep, other)) as class_id from reach group by rep),
+n as (select a as rep, count(*) as n_links from e group by a)
+select t.doc_id, coalesce(k.class_id, c.rep) as class_id, coalesce(n.n_links, 0) as n_links, c.n_copies from t join c using (text) left join k using (rep) left join n using (rep)
+"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from ketspark.llm.decontaminate import op9_benchmark_decontamination
 from ketspark.llm.html_extract import op3_html_extraction
-from ketspark.llm.jaccard_join import op6_ngram_jaccard_join
+from ketspark.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
 from ketspark.llm.packing import op2_best_fit_packing
 from ketspark.llm.quality import op5_quality_rules
 from ketspark.llm.substring_dedup import OP1_SQL, op1_substring_dedup
-from ketspark.llm.suffix_dedup import op8_suffix_dedup
+from ketspark.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 from ketspark.llm.suffix_tree_lm import op4_lm_scoring
 from ketspark.llm.tokens import op7_token_files
 from ketspark.llm.warc import OP10_SQL, op10_warc_revisits
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op10_warc_revisits": OP10_SQL,
 }

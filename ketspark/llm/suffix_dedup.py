@@ -202,3 +202,20 @@ def remove_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = remove_strings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+s as (select doc_id, n, unnest(range(0, n - 399)) as s, x from d where n >= 400),
+h as (select doc_id, s, md5(substr(x, 2 * s + 1, 800)) as w from s),
+r as (select doc_id, s from (select doc_id, s, count(*) over (partition by w) as c from h) where c > 1),
+g as (select doc_id, s, s - row_number() over (partition by doc_id order by s) as run from r),
+spans as (select doc_id, min(s) as a, max(s) + 400 as b from g group by doc_id, run),
+o as (select *, max(b) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) as before from spans),
+m as (select *, sum(case when before >= a then 0 else 1 end) over (partition by doc_id order by a) as part from o),
+u as (select doc_id, part, min(a) as a, max(b) as b from m group by doc_id, part),
+c as (select doc_id, list({'a': a, 'b': b} order by a) as l, sum(b - a) as gone, count(*) as k from u group by doc_id),
+t as (select d.doc_id, d.n, coalesce(gone, 0) as gone, coalesce(k, 0) as k, case when l is null then x else list_reduce(list_prepend('', list_transform(range(1, len(l) + 2), lambda i: substr(x, 2 * (case when i = 1 then 0 else l[i - 1].b end) + 1, 2 * ((case when i <= len(l) then l[i].a else d.n end) - (case when i = 1 then 0 else l[i - 1].b end))))), lambda p, q: p || q) end as kept
+  from d left join c using (doc_id))
+select doc_id, cast(n as bigint) as n_bytes, cast(gone as bigint) as n_removed, k as n_spans, sha256(unhex(kept)) as kept_sha256 from t
+"""
