@@ -16,6 +16,7 @@ before the shuffle, and the groups are keyed by window, so that a key has at mos
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,12 +156,16 @@ def marked(docs: DataFrame, units: Units, length: int, k: int, found: DataFrame)
 CANDIDATE = "key long, id long, start int, last int, anchor int, data binary"
 
 
-def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: bool) -> DataFrame:
+def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: bool, reach: int | None = None) -> DataFrame:
     """Rows of CANDIDATE for all windows whose anchor is repeated.
 
     ``first_only``: of equal windows only later ones go (else all of them go); decides which rows a
-    task can settle by itself.
+    task can settle by itself. ``reach`` (at least ``length``): windows of that length are wanted too; segments then reach so far
+    beyond their last start, as the text has it, and frequent windows come in both lengths. What a task has settled is of kind
+    0 for the longer windows and 1 for the shorter ones; the kind stands in place of the anchor.
     """
+    reach = reach or length
+    kinds = ((0, reach), (1, length)) if reach > length else ((0, length),)
     spark = docs.sparkSession
     found = repeated_anchors(docs, units, length, k)
     n, hot = found.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
@@ -193,24 +198,26 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
                 if not len(keep):
                     continue
                 h, at, first, last = h[keep], at[keep], first[keep], last[keep]
-                gone = []
+                gone = {0: [], 1: []}
                 for key, p, a, b, many in zip(h.view(np.int64).tolist(), at.tolist(), first.tolist(), last.tolist(), often.tolist(), strict=True):
                     if not many:
-                        segment = part(a, b + length)
+                        segment = part(a, min(b + reach, len(own)))
                         rows.append((key, id_, a, b, p - a, segment))
                         held += len(segment) + 100
                         continue
-                    for s in range(a, b + 1):
-                        window = part(s, s + length)
+                    for s, (kind, n) in itertools.product(range(a, b + 1), kinds):
+                        if s + n > len(own):
+                            continue
+                        window = part(s, s + n)
                         name = xxhash.xxh3_128_digest(window)
                         old = local.get(name)
                         place = (id_, s)
                         if old is None:
-                            local[name] = [key ^ int.from_bytes(name[:8], "little", signed=True), place, p - s, window, False]
+                            local[name] = [key ^ int.from_bytes(name[:8], "little", signed=True), place, p - s, window, False, kind]
                         elif old[1] != place:
-                            gone.append(max(old[1], place))
+                            gone[kind].append(max(old[1], place))
                             old[1], old[4] = min(old[1], place), not first_only
-                rows += ((0, i, a, b, 0, None) for i, a, b in ranges(gone))
+                rows += ((0, i, a, b, kind, None) for kind in gone for i, a, b in ranges(gone[kind]))
             yield batch_of(rows)
             if len(local) > LOCAL:
                 yield from merged(local)
@@ -219,10 +226,10 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
 
     def merged(local: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for name, (key, (id_, s), off, window, several) in local.items():
+        for key, (id_, s), off, window, several, kind in local.values():
             rows.append((key, id_, s, s, off, window))
             if several:
-                rows.append((0, id_, s, s, 0, None))
+                rows.append((0, id_, s, s, kind, None))
             if len(rows) >= 20_000:
                 yield batch_of(rows)
                 rows = []
@@ -231,6 +238,12 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
     return docs.mapInArrow(emit, CANDIDATE)
 
 
+def runs_by_id(found: DataFrame) -> DataFrame:
+    """(id, runs, shared): the ranges (start, last) of kinds 0 and 1 of each document."""
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "last")))
+    return found.groupBy("id").agg(of(0).alias("runs"), of(1).alias("shared"))
+
+
 def ranges(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     """Runs of consecutive starts: (id, first, last)."""
     run = None
@@ -254,16 +267,16 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
 
-def settled(rows: DataFrame, judge: Callable[[list[list[tuple]]], Iterator[tuple[int, int, int]]], gather: int = 0) -> DataFrame:
-    """(id, start, last) of the windows to remove: ``judge`` gets groups, each the rows (id, start, last, anchor,
-    data) of one key in order of place, each place once, and yields ranges; groups are handed over when they hold ``gather`` bytes."""
+def settled(rows: DataFrame, judge: Callable[[list[list[tuple]]], Iterator[tuple[int, int, int, int]]], gather: int = 0) -> DataFrame:
+    """(id, start, last, kind) of the windows found: ``judge`` gets groups, each the rows (id, start, last, anchor,
+    data) of one key in order of place, each place once, and yields ranges with their kind; groups are handed over when they hold ``gather`` bytes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, groups, held, out = None, [], [], 0, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[5] is None:
-                    out.append((row[1], row[2], row[3]))
+                    out.append(row[1:5])
                     continue
                 if row[0] != key:
                     if len(group) > 1:
@@ -287,12 +300,12 @@ def settled(rows: DataFrame, judge: Callable[[list[list[tuple]]], Iterator[tuple
     # rows that are decided already travel by their document, not by a key of their own
     spread = F.when(F.col("data").isNull(), F.xxhash64("id", "start")).otherwise(F.col("key")).alias("key")
     dealt = rows.select(spread, "id", "start", "last", "anchor", "data").repartition("key").sortWithinPartitions("key", "id", "start")
-    return dealt.mapInArrow(walk, "id long, start int, last int")
+    return dealt.mapInArrow(walk, "id long, start int, last int, kind int")
 
 
 def range_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "last"])
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "last", "kind"])
 
 
 def covered(runs: list[tuple[int, int]] | None, length: int, n: int) -> list[tuple[int, int]]:

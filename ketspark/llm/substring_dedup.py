@@ -113,8 +113,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id
     """(id, runs): starts of the windows to remove, as array of (start, last), for documents that have any."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     rows = anchors.candidates(own, word_units, min_words, min(GRAM, min_words), first_only=True)
-    gone = anchors.settled(rows, lambda groups: (w for group in groups for w in later_windows(group, min_words)))
-    return gone.groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("runs"))
+    return anchors.runs_by_id(anchors.settled(rows, lambda groups: ((*w, 0) for group in groups for w in later_windows(group, min_words)))).select("id", "runs")
 
 
 def kept_words(text: Column, runs: Column, min_words: int) -> Column:

@@ -50,7 +50,8 @@ def byte_units() -> Callable:
 
 
 class Parse:
-    """Prefix-free parse of some texts: phrases, their dictionary in order, and the parse with ranks of its suffixes."""
+    """Prefix-free parse of some texts: phrases, their dictionary in order, and the parse with ranks of its suffixes,
+    for strings of up to ``length`` bytes."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.texts, self.length = texts, length
@@ -93,15 +94,18 @@ class Parse:
             step *= 2
         return names
 
-    def repeated(self) -> np.ndarray:
-        """Whether the string of ``length`` bytes at each place of the texts starts at another place as well."""
-        n, m, length = len(self.text), len(self.parse), self.length
+    def repeated(self, length: int, starts: np.ndarray) -> np.ndarray:
+        """Whether the string of ``length`` bytes (up to that of the parse) at each place of the texts starts at another place
+        as well; only the first ``starts`` places of each text are asked."""
+        n, m = len(self.text), len(self.parse)
         bounds = np.append(self.starts, n)
         place = np.arange(n)
         phrase = np.repeat(np.arange(m), np.diff(bounds))
         size = np.fromiter(map(len, self.dictionary), np.int64, len(self.dictionary))[self.parse]
         left = size[phrase] - (place - self.starts[phrase])  # bytes to the end of the phrase
-        some = place + length <= self.ends[self.of_text[phrase]]
+        text = self.of_text[phrase]
+        begins = np.append(0, self.ends[:-1])
+        some = (place + length <= self.ends[text]) & (place < begins[text] + starts[text])
         # a string around a run of phrases that comes once is no repeat
         following = np.minimum(phrase + 1, m - 1)
         for k in range(len(self.names)):
@@ -141,42 +145,52 @@ class Parse:
         return out
 
 
-def shared_windows(groups: list[list[tuple]], length: int) -> Iterator[tuple[int, int, int]]:
-    """Windows of the groups' texts that start at more than one place."""
-    dictionary: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+def shared_windows(groups: list[list[tuple]], length: int, report: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Windows of the groups' texts that start at more than one place: those of ``length`` bytes (kind 0) and of ``report``
+    bytes (kind 1)."""
+    dictionary: dict[tuple[bytes, int], list[tuple[int, int]]] = defaultdict(list)
     for group in groups:
         for id_, start, last, _, data in group:
-            dictionary[data].append((id_, start, last))
-    for places in dictionary.values():
-        if len(places) > 1:
-            yield from places
-    texts = list(dictionary)
-    if len(texts) > 1:
-        at = np.flatnonzero(Parse(texts, length).repeated())
-        begins = np.cumsum([0] + [len(t) for t in texts])
-        of = np.searchsorted(begins, at, "right") - 1
-        gone = []
-        for k, s in zip(of.tolist(), (at - begins[of]).tolist(), strict=True):
-            places = dictionary[texts[k]]
-            if len(places) == 1:
-                gone.append((places[0][0], places[0][1] + s))
-        yield from anchors.ranges(gone)
-
-
-def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, runs): starts of the strings to remove, as array of (start, last) in bytes."""
+            dictionary[data, last - start + 1].append((id_, start))
+    texts = [data for data, _ in dictionary]
+    if not texts:
+        return
+    starts = np.array([n for _, n in dictionary])
+    parse, places = Parse(texts, length), list(dictionary.values())
+    begins = np.append(0, parse.ends[:-1])
+
+    def found(flags: np.ndarray, kind: int) -> Iterator[tuple[int, int, int, int]]:
+        at = np.flatnonzero(flags)
+        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(np.searchsorted(parse.ends, at, "right")) > 0)) + 1
+        for run in np.split(at, cut) if len(at) else ():
+            k = int(np.searchsorted(parse.ends, run[0], "right"))
+            first, last = int(run[0] - begins[k]), int(run[-1] - begins[k])
+            yield from ((id_, start + first, start + last, kind) for id_, start in places[k])
+
+    for kind, n in enumerate((length, report) if report else (length,)):
+        flags = parse.repeated(n, starts)
+        for k, own in enumerate(places):  # texts in several places: all their strings repeat
+            if len(own) > 1:
+                flags[begins[k] : begins[k] + max(0, min(starts[k], len(texts[k]) - n + 1))] = True
+        yield from found(flags, kind)
+
+
+def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", report: int | None = None) -> DataFrame:
+    """(id, runs, shared): starts of the strings to remove, and of those of ``report`` bytes (under ``length``) that start
+    anywhere else, as arrays of (start, last) in bytes."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
-    rows = anchors.candidates(own, byte_units, length, min(GRAM, length), first_only=False)
-    return anchors.settled(rows, lambda groups: shared_windows(groups, length), SHARD_BYTES).groupBy("id").agg(F.collect_list(F.struct("start", "last")).alias("runs"))
+    least = report or length
+    rows = anchors.candidates(own, byte_units, least, min(GRAM, least), first_only=False, reach=length)
+    return anchors.runs_by_id(anchors.settled(rows, lambda groups: shared_windows(groups, length, report), SHARD_BYTES))
 
 
-def kept_bytes(text: Column, runs: Column, length: int) -> Column:
-    """Struct (n_bytes, n_removed, kept binary, spans)."""
+def kept_bytes(text: Column, runs: Column, shared: Column, length: int, report: int | None) -> Column:
+    """Struct (n_bytes, n_removed, kept binary, spans, n_shared)."""
 
-    @F.arrow_udf("n_bytes long, n_removed long, kept binary, spans array<struct<first:int,end:int>>")
-    def cut(text: pa.Array, runs: pa.Array) -> pa.Array:
+    @F.arrow_udf("n_bytes long, n_removed long, kept binary, spans array<struct<first:int,end:int>>, n_shared long")
+    def cut(text: pa.Array, runs: pa.Array, shared: pa.Array) -> pa.Array:
         out = []
-        for t, r in zip(text, runs, strict=True):
+        for t, r, x in zip(text, runs, shared, strict=True):
             data = t.as_py() or b""
             spans = anchors.covered([(x["start"], x["last"]) for x in r.as_py() or ()], length, len(data))
             kept, at = [], 0
@@ -184,24 +198,31 @@ def kept_bytes(text: Column, runs: Column, length: int) -> Column:
                 kept.append(data[at:a])
                 at = b
             whole = b"".join([*kept, data[at:]]) if spans else data
-            out.append((len(data), len(data) - len(whole), whole, [{"first": a, "end": b} for a, b in spans]))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["n_bytes", "n_removed", "kept", "spans"])
+            n_shared = sum(b - a for a, b in anchors.covered([(x["start"], x["last"]) for x in x.as_py() or ()], report, len(data))) if report else None
+            out.append((len(data), len(data) - len(whole), whole, [{"first": a, "end": b} for a, b in spans], n_shared))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["n_bytes", "n_removed", "kept", "spans", "n_shared"])
 
-    return cut(text, runs)
+    return cut(text, runs, shared)
 
 
-def remove_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", out_col: str = "repeats") -> DataFrame:
-    """``docs`` with a struct column ``out_col`` (n_bytes, n_removed, kept, spans)."""
-    gone = repeated_strings(docs, length, id_col, text_col).select(F.col("id").alias("__gone_id"), F.col("runs").alias("__gone_runs"))
+def remove_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", out_col: str = "repeats", report: int | None = None) -> DataFrame:
+    """``docs`` with a struct column ``out_col`` (n_bytes, n_removed, kept, spans, n_shared). n_shared: bytes in strings of
+    ``report`` bytes (under ``length``) that start anywhere else; they aren't removed for that; null without ``report``."""
+    gone = repeated_strings(docs, length, id_col, text_col, report).select(F.col("id").alias("__gone_id"), F.col("runs").alias("__gone_runs"), F.col("shared").alias("__gone_shared"))
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left")
-    return joined.withColumn(out_col, kept_bytes(as_bytes(text_col), F.col("__gone_runs"), length)).drop("__gone_id", "__gone_runs")
+    return joined.withColumn(out_col, kept_bytes(as_bytes(text_col), F.col("__gone_runs"), F.col("__gone_shared"), length, report)).drop("__gone_id", "__gone_runs", "__gone_shared")
+
+
+#: bytes of passages that the query reports besides those that it removes: nearly all of over 50 words are as long
+REPORT = 256
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = remove_strings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return docs.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+    """With n_shared as well, see ``remove_strings``."""
+    docs = remove_strings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=REPORT)
+    return docs.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"), "repeats.n_shared")
 
 
 OP8_SQL = r"""
@@ -215,7 +236,12 @@ o as (select *, max(b) over (partition by doc_id order by a rows between unbound
 m as (select *, sum(case when before >= a then 0 else 1 end) over (partition by doc_id order by a) as part from o),
 u as (select doc_id, part, min(a) as a, max(b) as b from m group by doc_id, part),
 c as (select doc_id, list({'a': a, 'b': b} order by a) as l, sum(b - a) as gone, count(*) as k from u group by doc_id),
+v as (select doc_id, n, unnest(range(0, n - 255)) as s, x from d where n >= 256),
+y as (select doc_id, s, md5(substr(x, 2 * s + 1, 512)) as w from v),
+q as (select doc_id, s from (select doc_id, s, count(*) over (partition by w) as c from y) where c > 1),
+qo as (select doc_id, s, lead(s) over (partition by doc_id order by s) as e from q),
+qs as (select doc_id, sum(least(256, coalesce(e - s, 256))) as n_shared from qo group by doc_id),
 t as (select d.doc_id, d.n, coalesce(gone, 0) as gone, coalesce(k, 0) as k, case when l is null then x else list_reduce(list_prepend('', list_transform(range(1, len(l) + 2), lambda i: substr(x, 2 * (case when i = 1 then 0 else l[i - 1].b end) + 1, 2 * ((case when i <= len(l) then l[i].a else d.n end) - (case when i = 1 then 0 else l[i - 1].b end))))), lambda p, q: p || q) end as kept
   from d left join c using (doc_id))
-select doc_id, cast(n as bigint) as n_bytes, cast(gone as bigint) as n_removed, k as n_spans, sha256(unhex(kept)) as kept_sha256 from t
+select doc_id, cast(n as bigint) as n_bytes, cast(gone as bigint) as n_removed, k as n_spans, sha256(unhex(kept)) as kept_sha256, cast(coalesce(n_shared, 0) as bigint) as n_shared from t left join qs using (doc_id)
 """

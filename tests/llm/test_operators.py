@@ -82,7 +82,21 @@ def test_suffix_dedup(docs, none, hot, filtered, monkeypatch):
     for t in DOCS.values():
         b = (t or "").encode()
         n.update(b[s : s + length] for s in range(len(b) - length + 1))
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_strings(docs, length, out_col="found").select("doc_id", "found.n_bytes", "found.n_removed", F.size("found.spans"), "found.kept").collect()}
+    near, where = 60, Counter()
+    for i, t in DOCS.items():
+        b = (t or "").encode()
+        for s in range(len(b) - near + 1):
+            where[b[s : s + near]] += 1
+    for report in (None, near):
+        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_strings(docs, length, out_col="found", report=report).select("doc_id", "found.n_bytes", "found.n_removed", F.size("found.spans"), "found.kept", "found.n_shared").collect()}
+        for i, t in DOCS.items():
+            b = (t or "").encode()
+            both = np.zeros(len(b), bool)
+            for s in range(len(b) - near + 1):
+                if where[b[s : s + near]] > 1:
+                    both[s : s + near] = True
+            assert got[i][4] == (int(both.sum()) if report else None), i
+    got = {i: v[:4] for i, v in got.items()}
     for i, t in DOCS.items():
         b = (t or "").encode()
         gone = np.zeros(len(b) + 1, bool)
@@ -107,7 +121,8 @@ def test_parse_finds_all_repeats():
         base = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 150))) for _ in range(3)]
         texts = [b"".join(rng.choice(base)[rng.randint(0, 60) : rng.randint(20, 150)] for _ in range(rng.randint(1, 4))) or b"x" for _ in range(rng.randint(1, 8))]
         texts = list(dict.fromkeys(texts))
-        assert suffix_dedup.Parse(texts, length).repeated().tolist() == repeats_of(texts, length)
+        starts = np.array([len(t) for t in texts])
+        assert suffix_dedup.Parse(texts, length + rng.choice((0, 30))).repeated(length, starts).tolist() == repeats_of(texts, length)
 
 
 def brute_classes(least=0.8):
