@@ -36,8 +36,8 @@ def kernel_distance(x: Sequence[Column], y: Sequence[Column]) -> Column:
 
 
 def kernel_matrix(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str], kernel=ry_kernel, broadcast_rows: int = 100_000) -> DataFrame:
-    """(i, j, k) for all rows of ``left`` against all of ``right``; ``left`` is the smaller side and is
-    broadcast if it has few rows, else the pairs are formed in blocks."""
+    """(i, j, k) for all rows of ``left``, a query set, against all of ``right``. The pairs are the result, so ``left`` should be
+    small: it is broadcast if it has up to ``broadcast_rows`` rows, else Spark pairs the partitions of both sides."""
     side = lambda df, p: df.select(F.col(key).alias(p), *[F.col(c).cast("double").alias(f"{p}_{c}") for c in cols])
     a, b = side(left, "i"), side(right, "j")
     a = F.broadcast(a) if left.count() <= broadcast_rows else a

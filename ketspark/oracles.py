@@ -270,6 +270,8 @@ sql("schedule_by_time", "select event_id, row_number() over (order by ts, event_
 sql("ext_event_windows", f"select cast(cast(ts as date) as varchar) as start, count(*) as n, {r('avg(value)')} as mean from events group by 1")
 
 # What the first round lacked
+_angles = (0.1 * np.random.default_rng(42).standard_normal(DIMS)).tolist()
+encoder("parametric", [g for i, x in enumerate(XS) for g in (("ry", i, None, x), ("rz", i, None, repr(_angles[i])))])
 sql("batch_merge", "select count(*) as n, max(o_totalprice) as largest from orders")
 sql("buffer_flush", f"""
 with b as (select value, cast(floor((row_number() over (order by ts, event_id) - 1) / 128) as bigint) as flush_id from events)
