@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ketspark.llm.common import as_bytes, new_path, portions
+from ketspark.llm.common import as_bytes, new_path, portions, small_batches
 
 
 #: words of lower-case letters that the tokenizer leaves as they are, and then signs that it parts from them
@@ -42,7 +42,8 @@ LETTERS = {b: b for b in OWN} | {b: 256 + i for i, b in enumerate(b for b in ran
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    MEMO = 400_000
+    #: words learnt before the older ones are let go; those that are met again meanwhile stay
+    MEMO = 100_000
     BLOCK = 256
 
     def __init__(self, path: str):
@@ -51,6 +52,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), self.BLOCK):
@@ -60,7 +62,7 @@ class Encoder:
             new = [i for i, x in enumerate(ids) if x is None]
             if new:
                 if len(self.known) > self.MEMO:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.learn({words[i] for i in new})
                 for i in new:
                     ids[i] = self.known[words[i]]
@@ -72,14 +74,19 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Ids of new words. A plain word has the ids of its letters and then those of its signs; its letters are
         in the tokenizer's own alphabet already and go to its model alone."""
-        known, model, others = self.known, self.tokenizer.model, []
+        known, older, model, others = self.known, self.older, self.tokenizer.model, []
         for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
             plain = PLAIN.fullmatch(w)
             if not plain:
                 others.append(w)
                 continue
             letters, signs = plain.groups()
-            if letters and letters not in known:
+            if letters and letters not in known and letters in older:
+                known[letters] = older[letters]
+            elif letters and letters not in known:
                 own = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(LETTERS)
                 known[letters] = array("I", [t.id for t in model.tokenize(own)]).tobytes()
             if signs and signs not in known:
@@ -126,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             yield pa.record_batch([part.column(0), pa.array(n.astype(np.int32)), pa.array(start + ends - n), lists], ["doc_id", "n_tokens", "task_start", "ids"])
             start += int(ends[-1])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("data"))
+    ordered = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("data"))
     files = ordered.mapInArrow(encode, "doc_id long, n_tokens int, task_start long, ids array<int>").write
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000}
     files.options(**options).parquet(path)
