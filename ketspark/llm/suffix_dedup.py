@@ -35,7 +35,7 @@ from ketspark.llm.common import as_bytes, grams
 #: bytes of a gram that deals text to shards
 GRAM = 32
 #: text that is put in order together
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: bytes of a trigger of the parse, and one in how many grams is one
 WINDOW, DIVISOR = 8, 16
 
