@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import STRETCH, grams, join_spread, mix, portions, release, stored
+from ketspark.llm.common import STRETCH, grams, join_spread, mix, portions, release, small_batches, stored
 
 #: An anchor found more often than this is handled window by window. Its segments would be a row for each place; cut into
 #: windows they are up to some hundred rows a task, but no more however often the anchor is found.
@@ -167,7 +167,7 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
     reach = reach or length
     kinds = ((0, reach), (1, length)) if reach > length else ((0, length),)
     spark = docs.sparkSession
-    found = repeated_anchors(docs, units, length, k)
+    found = repeated_anchors(small_batches(docs), units, length, k)
     n, hot = found.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
     shared = None
     if n <= FILTERED:

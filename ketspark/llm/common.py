@@ -94,6 +94,19 @@ def portions(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordB
     release()
 
 
+#: bytes of a batch of rows on its way to a worker and back
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends batches of at most BATCH_BYTES to Python workers, if it doesn't say otherwise. By default a batch
+    is 64 MB, held by the JVM and by the worker for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Hand freed memory back at the end of a task: workers live on between the stages of a job."""
     gc.collect()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import as_bytes, portions
+from ketspark.llm.common import as_bytes, portions, small_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -255,7 +255,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[In
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every item that a document holds."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    own = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     out = None
     for index in item_blocks(benchmark, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -285,7 +285,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
             for batch in portions(batches, at):
                 yield batch.filter(pa.array([not matcher.leaks((t.as_py() or "").encode(), threshold, least) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = small_batches(docs).mapInArrow(keep, docs.schema)
     return docs
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ketspark.llm.common import small_batches
+
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
 STOP = re.compile(r"[>\"']")
 #: elements whose content is no markup; it goes with them
@@ -368,7 +370,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", lab
     def text(page: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py() or "", tree) for p in page], pa.string())
 
-    return pages.withColumn(out_col, text(F.coalesce(F.col(html_col), F.lit(""))))
+    return small_batches(pages).withColumn(out_col, text(F.coalesce(F.col(html_col), F.lit(""))))
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

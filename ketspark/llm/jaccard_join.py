@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, portions, release, small, stored
+from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, portions, release, small, small_batches, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -246,7 +246,7 @@ def exact_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99) -> DataFrame:
     """(id_col, class_id, n_links, n_copies) for every row of ``docs``: the smallest id of its class, how
     many different texts are similar to its text, and how many rows have its text."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"))
     ids = stored(own, "ids")
     copies = ids.where("id is not null").groupBy(F.col("text_key").alias("key")).agg(F.struct(F.min("id").alias("rep"), F.count("*").alias("n")).alias("value"), F.count("*").alias("rows"))
     total = ids.count()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import as_bytes, portions, stored
+from ketspark.llm.common import as_bytes, portions, small_batches, stored
 from ketspark.llm.tokens import default_tokenizer, encoder_of
 
 #: pieces that are ranked together at most, about
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"))
     return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
