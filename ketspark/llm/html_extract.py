@@ -248,6 +248,11 @@ LABELLED = """
  25 0.00   1 1.00  60 0.00 0 1 0 0 0
  25 0.00   1 1.00  60 0.00 1 1 0 0 0
  12 0.00  30 0.00   0 0.00 1 1 0 0 0
+ 30 0.00   1 1.00   0 0.00 1 0 0 0 1
+ 20 0.00   1 1.00  30 0.00 1 0 0 0 1
+ 40 0.00   1 1.00  60 0.00 1 0 0 0 1
+ 60 0.00   1 1.00  70 0.00 1 0 0 0 1
+ 25 0.00   2 1.00   8 0.00 1 0 0 0 1
  50 0.00   0 0.00   0 0.00 0 0 0 0 1
  50 0.00   0 0.00   0 0.00 1 0 0 0 1
 
