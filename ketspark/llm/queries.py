@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ketspark.llm.byte_bpe import op12_byte_bpe
 from ketspark.llm.decontaminate import op9_benchmark_decontamination
 from ketspark.llm.html_extract import op3_html_extraction
 from ketspark.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_revisits": op10_warc_revisits,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
