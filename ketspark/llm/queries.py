@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ketspark.llm.align import op13_token_alignment
 from ketspark.llm.byte_bpe import op12_byte_bpe
 from ketspark.llm.decontaminate import op9_benchmark_decontamination
 from ketspark.llm.html_extract import op3_html_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_revisits": op10_warc_revisits,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
