@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ketspark.llm.align import op13_token_alignment
 from ketspark.llm.byte_bpe import op12_byte_bpe
+from ketspark.llm.collocations import OP11_SQL, op11_collocations
 from ketspark.llm.decontaminate import op9_benchmark_decontamination
 from ketspark.llm.html_extract import op3_html_extraction
 from ketspark.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_collocations": op11_collocations,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_warc_revisits": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
