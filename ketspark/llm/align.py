@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ from ketspark.llm.common import as_bytes, mix, portions, small_batches, stored
 
 #: bits of a pair of ids that hold B's id
 B_BITS = 15
+#: white space from a place on
+SPACES = re.compile(r"\s").search
 #: pairs that are sent to all tasks at most; the others meet their counts in a shuffle
 MOST_SENT = 400_000
 
@@ -67,33 +70,59 @@ class Pair:
         self.spaced = [np.array([t[:1] == b" " for t in tokens]) for tokens in (self.a.tokens, self.b_bytes)]
         self.b_offsets = np.concatenate(([0], np.cumsum(self.lengths[1])))
         self.b_all = np.frombuffer(b"".join(self.b_bytes), np.uint8)
+        self.fast_a = self.a.ranked()
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.windows: dict[tuple[bytes, bytes], tuple] = {}
         self.older_windows: dict[tuple[bytes, bytes], tuple] = {}
 
-    def b_ids(self, texts: list[str]) -> list[bytes]:
+    def single_b(self, text: str) -> bytes:
         """B puts a space before every text that isn't empty: it stands for the stretch's own one, or for a sign that is taken off again."""
-        plain = [t[1:] if t[0] == " " else "x" + t for t in texts]
-        ids = self.b.encode(plain, num_threads=1)
-        first = len(self.b.encode("x", num_threads=1))
-        return [array("I", self.space if t == " " else x if t[0] == " " else x[first:]).tobytes() for t, x in zip(texts, ids, strict=True)]
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of A and of B for a space and the text."""
-        stretches = self.stretches.findall(" " + text)
+        if text == " ":
+            ids = self.space
+        else:
+            ids = self.b.encode(text[1:]) if text[0] == " " else self.b.encode("x" + text)[len(self.b.encode("x")) :]
+        return array("I", ids).tobytes()
+
+    def ask(self, texts: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of stretches. Those of a space and signs are encoded in one text, whose tokens end where they end."""
+        found = {}
+        plain = [t for t in texts if len(t) > 1 and t[0] == " " and "▁" not in t and not SPACES(t, 1)]
+        for part in itertools.batched(plain, 1000):
+            ends = np.cumsum([len(t.encode("utf-8", "replace")) for t in part])
+            text, sides = "".join(part), []
+            for side, ids in enumerate((self.fast_a.encode_ordinary(text) if self.fast_a else np.frombuffer(self.a.encode(text), "<u4"), self.b.encode(text[1:]))):
+                ids = np.array(ids, "<u4")
+                token_ends = np.cumsum(self.lengths[side][ids])
+                last = np.searchsorted(token_ends, ends)
+                if last[-1] >= len(ids) or (token_ends[last] != ends).any():
+                    break  # texts that a tokenizer changes, such as those that aren't Unicode
+                data, at = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                sides.append([data[x:y] for x, y in itertools.pairwise(at)])
+            else:
+                found |= zip(part, zip(*sides, strict=True), strict=True)
+        others = [t for t in texts if t not in found]
+        return found | {t: (a, self.single_b(t)) for t, a in zip(others, self.a.stretches(others), strict=True)}
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and of B for a space and each text."""
+        split = [self.stretches.findall(" " + t) for t in texts]
+        stretches = list(itertools.chain.from_iterable(split))
         ids = list(map(self.known.get, stretches))
         new = {t for t, x in zip(stretches, ids, strict=True) if x is None}
         if new:
             if len(self.known) > self.MEMO:
                 self.known, self.older = {}, self.known
             found = {t: x for t in new if (x := self.older.get(t))}
-            asked = [t for t in new if t not in found]
-            if asked:
-                found |= zip(asked, zip(self.a.stretches(asked), self.b_ids(asked), strict=True), strict=True)
+            found |= self.ask([t for t in new if t not in found])
             self.known |= {t: x for t, x in found.items() if len(t) <= self.LONGEST}
             ids = [found[t] if x is None else x for t, x in zip(stretches, ids, strict=True)]
-        return b"".join([x[0] for x in ids]), b"".join([x[1] for x in ids])
+        out, at = [], 0
+        for own in split:
+            part = ids[at : at + len(own)]
+            at += len(own)
+            out.append((b"".join([x[0] for x in part]), b"".join([x[1] for x in part])))
+        return out
 
     def joined_b(self, ids: np.ndarray) -> bytes:
         start, n = self.b_offsets[ids], self.lengths[1][ids]
@@ -182,9 +211,9 @@ def distinct(a: np.ndarray, a0: np.ndarray, b: np.ndarray, b0: np.ndarray) -> tu
 
 def aligned_rows(pair: Pair, texts: list[bytes], whole: bool) -> list[list]:
     """For every text: n_a, n_b, n_groups, n_links, groups (as text, or its digest), distinct pairs of ids, and how often each is linked."""
-    ids = []
+    ids, given = [], iter(pair.encode([t.decode("utf-8", "replace") for t in texts if t]))
     for t in texts:
-        a, b = pair.encode(t.decode("utf-8", "replace")) if t else (b"", b"")
+        a, b = next(given) if t else (b"", b"")
         if t and not (pair.a.decode(np.frombuffer(a, "<u4")).tobytes() == b" " + t == pair.joined_b(np.frombuffer(b, "<u4"))):
             a = b = b""
         ids.append((a, b))

@@ -182,6 +182,15 @@ class ByteBPE:
         parts = self.cut.split(text)
         return b"".join(array("I", [self.special[p]]).tobytes() if i % 2 else b"".join(self.stretches(STRETCHES.findall(p))) for i, p in enumerate(parts))
 
+    def ranked(self):
+        """The same vocabulary for the tiktoken library, if ids ascend with the ranks of merges as it demands; else None."""
+        import tiktoken
+
+        order = [i for i, t in enumerate(self.tokens) if t and t.decode("utf-8", "replace") not in self.special and self.length[i]]
+        if any(self.rank[x] >= self.rank[y] >= 0 for x, y in itertools.pairwise(order)):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=WORDS.pattern, mergeable_ranks={self.tokens[i]: i for i in order}, special_tokens={})
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in turn."""
         start = self.offsets[ids]
