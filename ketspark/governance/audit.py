@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ketspark.base import one_of
+from ketspark.sources import record_log
 
 #: words in a column's name that mark personal data
 SENSITIVE = ("ssn", "password", "credit_card", "phone", "email", "address")
@@ -66,6 +67,11 @@ def export_trail(events: DataFrame, path: str) -> None:
     events.write.json(path)
 
 
+def append_trail(events: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of events to a trail that is a record log; the same batch again adds nothing."""
+    record_log.append(events, path, batch)
+
+
 def violations(data: DataFrame, policies: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
     """(policy, key, measure, value, limit): what breaks a policy. ``policies``: policy, measure and the largest
     value allowed (limit); a missing value breaks none."""

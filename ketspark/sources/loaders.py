@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from ketspark.base import one_of
 from ketspark.functions.arrays import features
@@ -17,6 +18,7 @@ from ketspark.operators.circuits import qasm
 from ketspark.operators.encoders import CIRCUIT, RotationEncoder, StatevectorEncoder
 from ketspark.plans.numbering import batch_ids
 from ketspark.plans.storage import shared_dir
+from ketspark.sources import record_log
 
 
 class DataLoader:
@@ -178,7 +180,7 @@ def load_params(path: str, spark: SparkSession) -> dict:
 
 
 class Connectors:
-    """Registry of functions (spark, **options) -> DataFrame."""
+    """Registry of functions (spark, **options) -> DataFrame, and of data sources that Spark plans."""
 
     known: dict[str, Callable[..., DataFrame]] = {}
 
@@ -186,6 +188,13 @@ class Connectors:
     def register(cls, name: str, make: Callable[..., DataFrame]) -> None:
         cls.known[name] = make
 
+    @classmethod
+    def register_source(cls, spark: SparkSession, source: type[DataSource]) -> None:
+        """A data source of Spark's Python API: known to SQL, ``spark.read.format`` and streams by its name, and here as well."""
+        spark.dataSource.register(source)
+        name = source.name()
+        cls.register(name, lambda session, **options: session.read.format(name).options(**options).load())
+
     @classmethod
     def create(cls, name: str, spark: SparkSession, **options) -> DataFrame:
         if name not in cls.known:
@@ -200,3 +209,4 @@ class Connectors:
 Connectors.register("parquet", lambda spark, path: spark.read.parquet(path))
 Connectors.register("csv", lambda spark, path, schema=None: read_csv(spark, path, schema))
 Connectors.register("sql", lambda spark, query: spark.sql(query))
+Connectors.register("record_log", lambda spark, **options: record_log.read(spark, **options))

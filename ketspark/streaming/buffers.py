@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ketspark.functions.arrays import total
 from ketspark.plans.numbering import batch_ids, numbered, shuffle_key
 from ketspark.plans.storage import stored
+from ketspark.streaming.ring import ring
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -78,18 +79,8 @@ def flushed(df: DataFrame, order: Sequence[str], capacity: int) -> DataFrame:
 
 
 def stream_tail(stream: DataFrame, by: str, value: str, size: int) -> DataFrame:
-    """Streaming ring buffer: after each micro-batch, (by, n, mean) over the last ``size`` values of each key, kept as state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def update(key: tuple, parts, state: GroupState):
-        own = list(state.get[0]) if state.exists else []
-        for p in parts:
-            own = (own + p[value].tolist())[-size:]
-        state.update((own,))
-        yield pd.DataFrame({by: [key[0]], "n": [len(own)], "mean": [sum(own) / len(own) if own else None]})
-
-    kind = dict(stream.dtypes)[by]
-    return stream.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double", "own array<double>", "update", GroupStateTimeout.NoTimeout)
+    """(by, n, mean) over the last ``size`` values of each key after each micro-batch ('update' mode); see ``ring``."""
+    return ring(stream, by, value, capacity=size, mode="Update").select(by, F.col("size").alias("n"), "mean")
 
 
 def windowed(stream: DataFrame, at: str, value: str, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
