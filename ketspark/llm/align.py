@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import operator
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,8 +38,7 @@ from ketspark.llm.common import as_bytes, mix, portions, small_batches, stored
 
 #: bits of a pair of ids that hold B's id
 B_BITS = 15
-#: white space from a place on
-SPACES = re.compile(r"\s").search
+FIRST, SECOND = operator.itemgetter(0), operator.itemgetter(1)
 #: pairs that are sent to all tasks at most; the others meet their counts in a shuffle
 MOST_SENT = 400_000
 
@@ -66,6 +66,7 @@ class Pair:
         self.space = [self.b.piece_to_id("▁")]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [[len(t) for t in tokens] for tokens in (self.a.tokens, self.b_bytes)]
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.lengths = [np.array(sizes) for sizes in self.sizes]
         self.spaced = [np.array([t[:1] == b" " for t in tokens]) for tokens in (self.a.tokens, self.b_bytes)]
         self.b_offsets = np.concatenate(([0], np.cumsum(self.lengths[1])))
@@ -85,20 +86,25 @@ class Pair:
         return array("I", ids).tobytes()
 
     def ask(self, texts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of stretches. Those of a space and signs are encoded in one text, whose tokens end where they end."""
+        """Ids of stretches. Most are encoded in one text, whose tokens end where they end; a stretch that doesn't start with a space
+        has a sign before it, as it has in its text, whose token is left out again."""
         found = {}
-        plain = [t for t in texts if len(t) > 1 and t[0] == " " and "▁" not in t and not SPACES(t, 1)]
+        plain = [t for t in texts if len(t) > 1 and " " not in t[1:] and "▁" not in t and not t[-1].isspace()]
         for part in itertools.batched(plain, 1000):
-            ends = np.cumsum([len(t.encode("utf-8", "replace")) for t in part])
-            text, sides = "".join(part), []
+            given = [t if t[0] == " " else " x" + t for t in part]
+            ends = np.cumsum([len(t.encode("utf-8", "replace")) for t in given])
+            put = np.array([t[0] != " " for t in part])
+            text, sides = "".join(given), []
             for side, ids in enumerate((self.fast_a.encode_ordinary(text) if self.fast_a else np.frombuffer(self.a.encode(text), "<u4"), self.b.encode(text[1:]))):
                 ids = np.array(ids, "<u4")
-                token_ends = np.cumsum(self.lengths[side][ids])
+                sizes = self.lengths[side][ids]
+                token_ends = np.cumsum(sizes)
                 last = np.searchsorted(token_ends, ends)
-                if last[-1] >= len(ids) or (token_ends[last] != ends).any():
+                first = np.append(0, last[:-1] + 1)
+                if last[-1] >= len(ids) or (token_ends[last] != ends).any() or (sizes[first[put]] != 2).any():
                     break  # texts that a tokenizer changes, such as those that aren't Unicode
-                data, at = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-                sides.append([data[x:y] for x, y in itertools.pairwise(at)])
+                data = ids.tobytes()
+                sides.append([data[x:y] for x, y in zip((4 * (first + put)).tolist(), (4 * last + 4).tolist(), strict=True)])
             else:
                 found |= zip(part, zip(*sides, strict=True), strict=True)
         others = [t for t in texts if t not in found]
@@ -109,19 +115,21 @@ class Pair:
         split = [self.stretches.findall(" " + t) for t in texts]
         stretches = list(itertools.chain.from_iterable(split))
         ids = list(map(self.known.get, stretches))
-        new = {t for t, x in zip(stretches, ids, strict=True) if x is None}
+        new = {stretches[i] for i, x in enumerate(ids) if x is None}
         if new:
             if len(self.known) > self.MEMO:
                 self.known, self.older = {}, self.known
             found = {t: x for t in new if (x := self.older.get(t))}
             found |= self.ask([t for t in new if t not in found])
             self.known |= {t: x for t, x in found.items() if len(t) <= self.LONGEST}
-            ids = [found[t] if x is None else x for t, x in zip(stretches, ids, strict=True)]
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = found[stretches[i]]
         out, at = [], 0
         for own in split:
             part = ids[at : at + len(own)]
             at += len(own)
-            out.append((b"".join([x[0] for x in part]), b"".join([x[1] for x in part])))
+            out.append((b"".join(map(FIRST, part)), b"".join(map(SECOND, part))))
         return out
 
     def joined_b(self, ids: np.ndarray) -> bytes:
@@ -131,14 +139,17 @@ class Pair:
 
     def window(self, key: tuple[bytes, bytes]) -> tuple[str, int, int, bytes]:
         """The groups of a window as text, their number, the number of links, and the id pairs of all links."""
-        a, b = array("I", key[0]), array("I", key[1])
+        a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
         a_size, b_size = self.sizes
-        groups, pairs, i, j, a_end, b_end = [], [], 0, 0, 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            a_end += a_size[a[i]]
-            b_end += b_size[b[j]]
+        names, groups, pairs, i, j, n = self.names, [], [], 0, 0, len(a)
+        while i < n:
+            x, y = a[i], b[j]
+            i0, j0, a_end, b_end = i, j, a_size[x], b_size[y]
             i, j = i + 1, j + 1
+            if a_end == b_end:
+                groups.append(names[x] + "|" + names[y])
+                pairs.append(x << B_BITS | y)
+                continue
             while a_end != b_end:
                 if a_end < b_end:
                     a_end += a_size[a[i]]
@@ -146,12 +157,9 @@ class Pair:
                 else:
                     b_end += b_size[b[j]]
                     j += 1
-            if i - i0 == 1 == j - j0:
-                groups.append(f"{a[i0]}|{b[j0]}")
-                pairs.append(a[i0] << B_BITS | b[j0])
-            else:
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                pairs += [x << B_BITS | y for x in a[i0:i] for y in b[j0:j]]
+            own_a, own_b = a[i0:i], b[j0:j]
+            groups.append(",".join([names[x] for x in own_a]) + "|" + ",".join([names[y] for y in own_b]))
+            pairs += [x << B_BITS | y for x in own_a for y in own_b]
         return ";".join(groups), len(groups), len(pairs), array("i", pairs).tobytes()
 
     def aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple]:
