@@ -87,35 +87,55 @@ def compliance_report(found: DataFrame, policies: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame, child: str, parent: str, dataset) -> DataFrame:
     """(dataset, ancestor, depth) of one dataset: a join a level from it alone, not the closure of all."""
-    step = edges.select(F.col(child).alias("__child"), F.col(parent).alias("ancestor")).where("__child is not null and ancestor is not null").distinct()
-    front = step.where(F.col("__child") == dataset).select(F.col("__child").alias("dataset"), "ancestor")
-    return _levels(front, step.withColumnRenamed("ancestor", "__next").withColumnRenamed("__child", "ancestor"))
-
-
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
-    """(dataset, ancestor, depth): all ancestors with the shortest distance; a level a step until none is new.
-    Raises an error if there are any beyond a caller's ``max_depth``."""
-    step = edges.select(F.col(child).alias("dataset"), F.col(parent).alias("ancestor")).where("dataset is not null and ancestor is not null").distinct()
-    return _levels(step, step.select(F.col("dataset").alias("ancestor"), F.col("ancestor").alias("__next")), max_depth)
-
-
-def _levels(step: DataFrame, up: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """What can be reached from (dataset, ancestor) by (ancestor, __next), with depths."""
     from ketspark.plans.storage import stored
 
-    found = front = stored(step.withColumn("depth", F.lit(1).cast("long")), "closure")
+    step = edges.select(F.col(child).alias("__child"), F.col(parent).alias("ancestor")).where("__child is not null and ancestor is not null").distinct()
+    front = step.where(F.col("__child") == dataset).select(F.col("__child").alias("dataset"), "ancestor")
+    up = step.withColumnRenamed("ancestor", "__next").withColumnRenamed("__child", "ancestor")
+    found = front = stored(front.withColumn("depth", F.lit(1).cast("long")), "closure")
     for d in itertools.count(2):
         new = front.join(up, "ancestor").select("dataset", F.col("__next").alias("ancestor")).distinct()
         front = stored(new.join(found, ["dataset", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "closure")
         if not front.limit(1).count():
             return found
-        if max_depth is not None and d > max_depth:
-            raise ValueError(f"there are ancestors beyond max_depth = {max_depth}")
         found = found.unionByName(front)
         if d % 20 == 0:  # else the plan grows with the depth
             found = stored(found, "closure")
 
 
+#: datasets that one task joins through one dataset between, at most
+HUB = 20_000
+
+
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """(dataset, ancestor, depth): all ancestors with the shortest distance, by doubling of paths.
+
+    After a round all pairs up to a distance of 2^k are known. The pairs at exactly that distance are joined with all known ones, which
+    gives those up to 2^(k+1), as every shortest path has a dataset at that distance; so there are as many rounds as the
+    depth has binary digits, and a round joins no pair that isn't an ancestor. A dataset through which many paths go is
+    split by the datasets that come to it. Edges with a null end don't count; repeated ones count once; in a cycle a dataset
+    is its own ancestor. Without edges there is nothing. Raises an error if there are ancestors beyond a caller's ``max_depth``."""
+    from ketspark.plans.storage import stored
+
+    step = edges.select(F.col(child).alias("dataset"), F.col(parent).alias("ancestor")).where("dataset is not null and ancestor is not null").distinct()
+    found, reach = stored(step.withColumn("depth", F.lit(1).cast("long")), "closure"), 1
+    while True:
+        front = found.where(F.col("depth") == reach).select("dataset", F.col("ancestor").alias("__mid"))
+        # under a dataset in HUB of the front: few
+        hubs = F.broadcast(front.groupBy("__mid").count().where(F.col("count") > HUB).select("__mid", F.ceil(F.col("count") / HUB).cast("int").alias("__parts")))
+        parts = F.coalesce("__parts", F.lit(1))
+        left = front.join(hubs, "__mid", "left").withColumn("__part", F.pmod(F.xxhash64("dataset"), parts).cast("int")).drop("__parts")
+        right = found.select(F.col("dataset").alias("__mid"), "ancestor", "depth").join(hubs, "__mid", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+        pairs = left.join(right, ["__mid", "__part"]).groupBy("dataset", "ancestor").agg((F.min("depth") + reach).alias("depth"))
+        new = stored(pairs.join(found, ["dataset", "ancestor"], "left_anti"), "closure")
+        deepest = new.agg(F.max("depth")).first()[0]
+        if max_depth is not None and max(deepest or 0, 1) > max_depth:
+            raise ValueError(f"there are ancestors beyond max_depth = {max_depth}")
+        if deepest is None:
+            return found
+        found, reach = found.unionByName(new), 2 * reach
+
+
 class AccessControl:
     """Users with salted, stretched password digests, and roles with permissions ("*": all)."""
 

@@ -338,3 +338,20 @@ def exploded(df: DataFrame, key: str, circuit: str = "circuit") -> DataFrame:
     """(key, gate_no, type, q0, q1, param): one row a gate."""
     rows = df.select(key, F.posexplode(F.col(circuit)["gates"]).alias("gate_no", "g"))
     return rows.select(key, F.col("gate_no").cast("long").alias("gate_no"), F.col("g")["type"].alias("type"), F.get(F.col("g")["qubits"], F.lit(0)).cast("long").alias("q0"), F.get(F.col("g")["qubits"], F.lit(1)).cast("long").alias("q1"), F.get(F.col("g")["params"], F.lit(0)).alias("param"))
+
+
+def _product(x: float | None, y: float | None) -> float | None:
+    return None if x is None or y is None else x * y
+
+
+def _iqp(x: list, repeats: int) -> list[tuple]:
+    layer = [("h", i, None, None) for i in range(len(x))] + [("rz", i, None, v) for i, v in enumerate(x)]
+    return (layer + [("rzz", i, i + 1, _product(x[i], x[i + 1])) for i in range(len(x) - 1)]) * repeats
+
+
+#: gates (type, q0, q1, param) of one row of features, for table functions; the columns' own forms are the classes above
+PROGRAMS = {
+    "iqp": _iqp,
+    "rotation": lambda x, _: [("ry", i, None, v) for i, v in enumerate(x)],
+    "angle": lambda x, _: [(("rx", "ry", "rz")[i % 3], i, None, v) for i, v in enumerate(x)],
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ketspark.base import Transformer, one_of
 from ketspark.operators.categorical import BinningEncoder
 from ketspark.operators.kernel import second_moments
+from ketspark.operators.neighbours import mutual_info_knn
 
 
 def anova_f(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -44,14 +45,14 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 class FeatureSelector(Transformer):
-    """The ``n_features`` best by 'f_classif' or 'mutual_info', in their original order."""
+    """The ``n_features`` best by 'f_classif', 'mutual_info' (by nearest neighbours) or 'mutual_info_bins', in their original order."""
 
     def __init__(self, cols: Sequence[str], label: str, n_features: int = 10, method: str = "f_classif"):
         super().__init__(cols)
-        self.label, self.n_features, self.method = label, n_features, one_of(method, ("f_classif", "mutual_info"), "method")
+        self.label, self.n_features, self.method = label, n_features, one_of(method, ("f_classif", "mutual_info", "mutual_info_bins"), "method")
 
     def fit(self, df):
-        scores = {r[0]: r[1] for r in (anova_f if self.method == "f_classif" else mutual_info)(df, self.cols, self.label).collect()}
+        scores = {r[0]: r[1] for r in {"f_classif": anova_f, "mutual_info": mutual_info_knn, "mutual_info_bins": mutual_info}[self.method](df, self.cols, self.label).collect()}
         best = sorted(self.cols, key=lambda c: (-(scores[c] if scores[c] is not None else -1.0), self.cols.index(c)))[: self.n_features]
         self.params = {"scores": scores, "selected": [c for c in self.cols if c in best]}
         return self

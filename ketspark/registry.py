@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ketspark.functions import tables
 from ketspark.functions.arrays import features
 from ketspark.governance import audit, integrity, workflow
 from ketspark.operators import categorical, circuits, kernel, models, outliers, quality, reduction, resources, sampling, scaling, selection
 from ketspark.operators import encoders as enc
+from ketspark.operators import merkle, neighbours
 from ketspark.plans.numbering import numbered
+from ketspark.plans.storage import new_path
+from ketspark.sources import record_log
 from ketspark.sources.loaders import ParquetLoader, SqlLoader, to_lists, to_long
-from ketspark.streaming import buffers
+from ketspark.streaming import buffers, ring
 
 QUERIES: dict = {}
 DIMS = 4
@@ -841,3 +845,77 @@ def schedule_by_time(spark, d):
 def ext_event_windows(spark, d):
     out = buffers.windowed(table(spark, d, "events"), "ts", "value", "1 day")
     return rounded(out.withColumn("start", F.col("start").cast("date").cast("string")), "mean")
+
+
+# Streams, sources and table functions
+
+
+def event_stream(spark, d):
+    """The events as a stream; a pattern, as a stream's folder can't be a single file."""
+    return spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 100).parquet(f"{d}/event[s].parquet")
+
+
+@query
+def stream_buffer_flush(spark, d):
+    flushed = ring.run(ring.flushing(event_stream(spark, d), "event_type", ["ts", "event_id"], ["event_id", "value"], 128), "flushed")
+    rows = flushed.select("event_type", "flush_id", "n", F.inline("rows"))
+    return rounded(rows.groupBy("event_type", "flush_id", "n").agg(F.min("event_id").alias("first_id"), F.avg("value").alias("mean")), "mean")
+
+
+@query
+def stream_ring_statistics(spark, d):
+    rings = ring.run(ring.ring(event_stream(spark, d), "event_type", "value", ["ts", "event_id"], 100, 10), "rings")
+    latest = rings.groupBy("event_type").agg(F.max_by(F.struct(*ring.RING), "n_seen").alias("r")).select("event_type", "r.*")
+    return rounded(latest.select("event_type", "n_seen", "size", "mean", "std", "min", "max", "window_mean"), "mean", "std", "min", "max", "window_mean")
+
+
+@query
+def record_log_filtered(spark, d):
+    """The orders written to a log in two batches, the first of them twice, and read with a filter that rules out blocks."""
+    path = new_path(spark, "log")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    even = F.col("o_orderkey") % 2 == 0
+    for rows, batch in ((orders.where(even), "even"), (orders.where(~even), "odd"), (orders.where(even), "even")):
+        record_log.append(rows.sortWithinPartitions("o_totalprice"), path, batch)
+    return record_log.read(spark, path=path).where("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query
+def encode_iqp_sql(spark, d):
+    tables.register(spark)
+    vectors(spark, d).drop("label").createOrReplaceTempView("ketspark_vectors")
+    return rounded(spark.sql("select * from encoded_rows(table(ketspark_vectors), 'iqp')"), "param")
+
+
+@query
+def series_windows_sql(spark, d):
+    tables.register(spark)
+    table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("v")).createOrReplaceTempView("ketspark_daily")
+    return spark.sql("select event_type, cast(day as string) as day, x[0] as lag3, x[1] as lag2, x[2] as lag1, y[0] as next from windows_of(table(ketspark_daily), 'event_type', 'day', 'v', 3, 1)")
+
+
+# Neighbours and digests
+
+
+@query
+def feature_mutual_info_knn(spark, d):
+    return rounded(neighbours.mutual_info_knn(table(spark, d, "part"), ["p_size", "p_retailprice"], "p_brand"), "mi")
+
+
+def order_tree(spark, d, changed: bool = False):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    if changed:
+        top = rows.agg(F.max("o_totalprice").alias("top"))  # one row
+        rows = rows.join(F.broadcast(top), F.col("o_totalprice") == F.col("top"), "left").withColumn("o_orderstatus", F.when(F.col("top").isNull(), F.col("o_orderstatus"))).drop("top")
+    return merkle.merkle_tree(rows, ["o_orderkey"], ["o_orderkey", "o_totalprice", "o_orderstatus"], 2, 64)
+
+
+@query
+def table_merkle_root(spark, d):
+    return merkle.root(order_tree(spark, d))
+
+
+@query
+def table_first_difference(spark, d):
+    found = merkle.first_difference(order_tree(spark, d), order_tree(spark, d, True), 64)
+    return spark.createDataFrame([(found["first_row"], found["n_rows"])], "first_row long, n_rows long")

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, FileType
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import NumericType
 
 from ketspark.base import one_of
 from ketspark.functions.arrays import features
 from ketspark.operators.circuits import qasm
 from ketspark.operators.encoders import CIRCUIT, RotationEncoder, StatevectorEncoder
 from ketspark.plans.numbering import batch_ids
-from ketspark.plans.storage import shared_dir
+from ketspark.plans.storage import shared_dir, stored
 from ketspark.sources import record_log
 
 
@@ -52,11 +59,11 @@ class DataLoader:
 
 
 class SqlLoader(DataLoader):
-    """Batches of a query over registered views, or of a database over JDBC."""
+    """Batches of a query over registered views, or of a database over JDBC, which many tasks read by ranges of a numeric key."""
 
-    def __init__(self, spark: SparkSession, query: str, key: str, batch_size: int = 100, encoder: str = "angle", url: str | None = None, **options: str):
+    def __init__(self, spark: SparkSession, query: str, key: str, batch_size: int = 100, encoder: str = "angle", url: str | None = None, rows_a_task: int = 100_000, **options: str):
         if url:
-            df = spark.read.format("jdbc").options(url=url, query=query, fetchsize=batch_size, **options).load()
+            df = read_ranges(spark, url, query, key, rows_a_task, fetchsize=str(batch_size), **options)
         else:
             df = spark.sql(query)
         super().__init__(df, key, batch_size, encoder)
@@ -74,6 +81,66 @@ class SqlLoader(DataLoader):
         self.close()
 
 
+def read_ranges(spark: SparkSession, url: str, query: str, key: str, rows: int = 100_000, **options: str) -> DataFrame:
+    """A database's ``query``, each task reading a range of ``key`` of about ``rows`` rows.
+
+    The database counts its rows in equal parts of the key's range, and parts that hold too many are halved and counted again, until each is
+    small or a single value; small neighbours are put together. Every range is a predicate, so the ranges are read independently, and
+    rows with a null key are a range of their own. A key that is no number, or a table without rows, is read as one range.
+    """
+    ask = lambda text: spark.read.format("jdbc").options(url=url, query=text, **options).load()
+    inner = f"({query}) t"
+    numeric = isinstance(ask(f"select {key} from {inner} where 1 = 0").schema[0].dataType, NumericType)
+    n, known, low, high = ask(f"select count(*) as n, count({key}) as k, min({key}) as a, max({key}) as b from {inner}").first() if numeric else (0, 0, 0, 0)
+    if not known:
+        predicates = ["1 = 1"]
+    else:
+        low, high = math.floor(low), math.floor(high) + 1
+        done: list[tuple[int, int, int]] = []
+        todo = [(low, high, known)]
+        while todo:
+            parts = []
+            for a, b, size in todo:
+                if size <= rows or b - a <= 1:
+                    done.append((a, b, size))
+                else:
+                    pieces = min(b - a, 256 if len(todo) == 1 else 2)
+                    cuts = [a + (b - a) * i // pieces for i in range(pieces + 1)]
+                    parts += [(x, y) for x, y in itertools.pairwise(cuts) if x < y]
+            todo = []
+            for own in itertools.batched(parts, 64):  # one question for many parts
+                counts = ", ".join(f"sum(case when {key} >= {x} and {key} < {y} then 1 else 0 end) as c{i}" for i, (x, y) in enumerate(own))
+                found = ask(f"select {counts} from {inner} where {key} >= {own[0][0]} and {key} < {own[-1][1]}").first()
+                todo += [(x, y, int(c)) for (x, y), c in zip(own, found, strict=True) if c]
+        ranges: list[list[int]] = []
+        for a, b, size in sorted(done):
+            if ranges and ranges[-1][2] + size <= rows:
+                ranges[-1] = [ranges[-1][0], b, ranges[-1][2] + size]
+            else:
+                ranges.append([a, b, size])
+        predicates = [f"{key} >= {a} and {key} < {b}" for a, b, _ in ranges] + ([f"{key} is null"] if known < n else [])
+    return spark.read.jdbc(url, inner, predicates=predicates, properties=options)
+
+
+#: files whose footers one task opens
+FOOTERS = 64
+
+
+def footers(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in paths:
+        rows = []
+        for path in part["file"]:
+            # Spark writes file:/x for what a URI has as file:///x, and signs of its own in place of others
+            fs, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            with fs.open_input_file(name if fs.get_file_info(name).type == FileType.File else unquote(name)) as f:
+                own, first = pq.ParquetFile(f).metadata, 0
+                for k in range(own.num_row_groups):
+                    n = own.row_group(k).num_rows
+                    rows += [(path, k, first, n)] if n else []
+                    first += n
+        yield pd.DataFrame(rows, columns=["file", "row_group", "first_row", "n_rows"])
+
+
 class ParquetLoader(DataLoader):
     def __init__(self, spark: SparkSession, path: str, key: str, batch_size: int = 1000, encoder: str = "angle"):
         try:
@@ -90,11 +157,16 @@ class ParquetLoader(DataLoader):
         return out.withColumns({"num_row_groups": groups, "encoder_type": F.lit(self.encoder)})
 
     def row_groups(self) -> DataFrame:
-        """(file, row_group, first_row, n_rows), from the files' footers alone; row groups without rows are left out."""
-        spark = self.df.sparkSession
+        """(file, row_group, first_row, n_rows), from the files' footers alone, which tasks open, FOOTERS files each; row groups
+        without rows are left out. Stores that only Spark's own file systems reach are opened by the driver, file by file."""
+        spark, schema = self.df.sparkSession, "file string, row_group int, first_row long, n_rows long"
+        files = self.df.inputFiles()
+        if all(re.match(r"(file|hdfs|s3|gs):/", f) for f in files):
+            paths = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, -(-len(files) // FOOTERS)))
+            return stored(paths.mapInPandas(footers, schema), "footers")
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         rows = []
-        for path in self.df.inputFiles():
+        for path in files:
             first, reader = 0, jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
             try:
                 for k, block in enumerate(reader.getRowGroups()):
@@ -103,7 +175,7 @@ class ParquetLoader(DataLoader):
                     first += n
             finally:
                 reader.close()
-        return spark.createDataFrame(rows, "file string, row_group int, first_row long, n_rows long")
+        return spark.createDataFrame(rows, schema)
 
     def row_group_batches(self) -> DataFrame:
         """Rows with batch_id, in the files' own order: batches of ``batch_size`` rows that never span a row group. Each row
