@@ -316,7 +316,7 @@ sql("stream_ring_statistics", f"""
 with b as (select event_type, value, row_number() over (partition by event_type order by ts desc, event_id desc) as back, count(*) over (partition by event_type) as n_seen from events)
 select event_type, n_seen, count(*) as size, {r('avg(value)')} as mean, {r('stddev_pop(value)')} as std, {r('min(value)')} as min, {r('max(value)')} as max, {r('avg(value) filter (back <= 10)')} as window_mean
 from b where back <= 100 group by event_type, n_seen""")
-sql("record_log_filtered", "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 200000")
+sql("record_log_filtered", "select doc_id, lang, n_chars from documents where n_chars > 3000")
 sql("encode_iqp_sql", ORACLE_SQL["encode_iqp"])
 sql("series_windows_sql", ORACLE_SQL["series_windows"])
 
@@ -324,7 +324,7 @@ sql("series_windows_sql", ORACLE_SQL["series_windows"])
 _psi = lambda x: f"(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * ({x} + 6)^2) + 1 / (120 * ({x} + 6)^4) - 1 / (252 * ({x} + 6)^6) + 1 / (240 * ({x} + 6)^8) - " + " - ".join(f"1 / ({x} + {i})" for i in range(6)) + ")"
 _side = lambda f, i, sign: f"coalesce({sign} * (x - {f}(x, {i}) over w), 'infinity'::double)"
 sql("feature_mutual_info_knn", f"""
-with c as (select 'p_size' as feature, p_brand as label, cast(p_size as double) as x from part union all select 'p_retailprice', p_brand, p_retailprice from part),
+with {VECTORS}, c as ({" union all ".join(f"select '{x}' as feature, label, {x} as x from v" for x in XS)}),
 s as (select *, row_number() over () as id, cast(count(*) over (partition by feature, label) as double) as size from c qualify size > 1),
 d as (select *, {", ".join(f"{_side('lag', i, 1)} as l{i}, {_side('lead', i, -1)} as r{i}" for i in (1, 2, 3))} from s window w as (partition by feature, label order by x, id)),
 t as (select id, feature, x, size, least(3, size - 1) as k, case least(3, size - 1) when 1 then least(l1, r1) when 2 then least(r2, greatest(l1, r1), l2) else least(r3, greatest(l1, r2), greatest(l2, r1), l3) end as r from d),
@@ -335,11 +335,15 @@ _cell = lambda text: f"coalesce(length({text}) || ':' || {text}, '-')"  # noqa:
 _leaf = "select rn // 64 as idx, sha256(string_agg(digest, '' order by rn)) as digest, count(*) as n from rows group by 1"
 _up = lambda below: f"select idx // 64 as idx, sha256(string_agg(digest, '' order by idx)) as digest, sum(n) as n from {below} group by 1"
 sql("table_merkle_root", f"""
-with rows as (select row_number() over (order by o_orderkey) - 1 as rn, sha256({_cell('cast(o_orderkey as varchar)')} || {_cell('cast(cast(round(o_totalprice * 100) as bigint) as varchar)')} || {_cell('o_orderstatus')}) as digest from orders),
+with rows as (select row_number() over (order by doc_id) - 1 as rn, sha256({" || ".join(_cell(f"cast({c} as varchar)") for c in ("doc_id", "text", "lang", "source", "n_chars"))}) as digest from documents),
 l0 as ({_leaf}), l1 as ({_up('l0')}), l2 as ({_up('l1')}), l3 as ({_up('l2')}), l4 as ({_up('l3')}),
 tops as ({" union all ".join(f"select {k} as level, count(*) as size, min(digest) as root, cast(sum(n) as bigint) as n_rows from l{k}" for k in range(5))})
 select n_rows, root from tops where size = 1 order by level limit 1""")
 sql("table_first_difference", """
-with rows as (select row_number() over (order by o_orderkey) - 1 as rn, o_totalprice, count(*) over () as n, max(o_totalprice) over () as top from orders),
-f as (select min(rn) // 64 * 64 as first_row, any_value(n) as n from rows where o_totalprice = top)
+with rows as (select row_number() over (order by doc_id) - 1 as rn, n_chars, count(*) over () as n, max(n_chars) over () as top from documents),
+f as (select min(rn) // 64 * 64 as first_row, any_value(n) as n from rows where n_chars = top)
 select first_row, least(64, n - first_row) as n_rows from f""")
+sql("coreset_sensitivity", f"""
+with {VECTORS}, s as (select x0, x1, x2, x3, (row_number() over (order by md5(cast(vec_id as varchar)), vec_id) - 1) // 5 as k from v qualify k < 5),
+g as (select k, vec_id, min({" + ".join(f"(v.{x} - s.{x}) * (v.{x} - s.{x})" for x in XS)}) as d from v, s group by k, vec_id)
+select 'set ' || k as name, {r('sum(d)')} as cost, true as near, (select count(*) from v)::double as weight from g group by k""")

@@ -10,7 +10,7 @@ from ketspark.functions.arrays import features
 from ketspark.governance import audit, integrity, workflow
 from ketspark.operators import categorical, circuits, kernel, models, outliers, quality, reduction, resources, sampling, scaling, selection
 from ketspark.operators import encoders as enc
-from ketspark.operators import merkle, neighbours
+from ketspark.operators import coresets, landmarks, merkle, neighbours, svm
 from ketspark.plans.numbering import numbered
 from ketspark.plans.storage import new_path
 from ketspark.sources import record_log
@@ -871,13 +871,13 @@ def stream_ring_statistics(spark, d):
 
 @query
 def record_log_filtered(spark, d):
-    """The orders written to a log in two batches, the first of them twice, and read with a filter that rules out blocks."""
+    """The documents' sizes written to a log in two batches, the first of them twice, and read with a filter that rules out blocks."""
     path = new_path(spark, "log")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    even = F.col("o_orderkey") % 2 == 0
-    for rows, batch in ((orders.where(even), "even"), (orders.where(~even), "odd"), (orders.where(even), "even")):
-        record_log.append(rows.sortWithinPartitions("o_totalprice"), path, batch)
-    return record_log.read(spark, path=path).where("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    even = F.col("doc_id") % 2 == 0
+    for rows, batch in ((docs.where(even), "even"), (docs.where(~even), "odd"), (docs.where(even), "even")):
+        record_log.append(rows.sortWithinPartitions("n_chars"), path, batch)
+    return record_log.read(spark, path=path).where("n_chars > 3000").select("doc_id", "lang", "n_chars")
 
 
 @query
@@ -899,23 +899,46 @@ def series_windows_sql(spark, d):
 
 @query
 def feature_mutual_info_knn(spark, d):
-    return rounded(neighbours.mutual_info_knn(table(spark, d, "part"), ["p_size", "p_retailprice"], "p_brand"), "mi")
+    return rounded(neighbours.mutual_info_knn(vectors(spark, d), X, "label"), "mi")
 
 
-def order_tree(spark, d, changed: bool = False):
-    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+def document_tree(spark, d, changed: bool = False):
+    rows = table(spark, d, "documents")
     if changed:
-        top = rows.agg(F.max("o_totalprice").alias("top"))  # one row
-        rows = rows.join(F.broadcast(top), F.col("o_totalprice") == F.col("top"), "left").withColumn("o_orderstatus", F.when(F.col("top").isNull(), F.col("o_orderstatus"))).drop("top")
-    return merkle.merkle_tree(rows, ["o_orderkey"], ["o_orderkey", "o_totalprice", "o_orderstatus"], 2, 64)
+        top = rows.agg(F.max("n_chars").alias("top"))  # one row
+        rows = rows.join(F.broadcast(top), F.col("n_chars") == F.col("top"), "left").withColumn("text", F.when(F.col("top").isNull(), F.col("text"))).drop("top")
+    return merkle.merkle_tree(rows, ["doc_id"], ["doc_id", "text", "lang", "source", "n_chars"], fan=64)
 
 
 @query
 def table_merkle_root(spark, d):
-    return merkle.root(order_tree(spark, d))
+    return merkle.root(document_tree(spark, d))
 
 
 @query
 def table_first_difference(spark, d):
-    found = merkle.first_difference(order_tree(spark, d), order_tree(spark, d, True), 64)
+    found = merkle.first_difference(document_tree(spark, d), document_tree(spark, d, True), 64)
     return spark.createDataFrame([(found["first_row"], found["n_rows"])], "first_row long, n_rows long")
+
+
+@query
+def coreset_sensitivity(spark, d):
+    """Cost of five sets of centres on all rows, and whether a coreset of 1,000 rows has the same within a tenth; its weights are the rows."""
+    rows = vectors(spark, d)
+    core = coresets.SensitivityCoreset(X, 1000).fit_transform(rows)
+    seeds = [list(r) for r in rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(25).select(*X).collect()]
+    found = coresets.cost_ratios(rows, core, X, {f"set {k}": seeds[5 * k : 5 * k + 5] for k in range(5)})
+    total = core.agg(F.round(F.sum("weight"), 3).alias("weight"))  # one row
+    return rounded(found.withColumn("near", F.abs(F.col("ratio") - 1) < 0.1).crossJoin(F.broadcast(total)).select("name", "cost", "near", "weight"), "cost")
+
+
+@query
+def kernel_pca_landmarks(spark, d):
+    cols = [f"x{i}" for i in range(12)]
+    return rounded(landmarks.LandmarkPCA(cols, 2, 1e-2).fit_transform(vectors(spark, d, 12)).select("vec_id", "pc0", "pc1"), "pc0", "pc1")
+
+
+@query
+def kernel_svc_all_rows(spark, d):
+    rows = vectors(spark, d).withColumn("half", (F.col("label") % 2).cast("int"))
+    return svm.PrimalSVC(X, "half", tol=1e-2).fit_transform(rows).select("vec_id", "prediction")
