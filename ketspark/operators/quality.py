@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.plans.stats import exact_percentiles
+from ketspark.plans.storage import stored
 
 
 def missing(c: Column) -> Column:
@@ -53,7 +54,8 @@ def quality_report(df: DataFrame, cols: Sequence[str], min_completeness: float =
     """(completeness, valid, outlier_ratio, overall): missing cells, finite values, and the share of all
     cells outside Tukey's fences around the quartiles of all cells. With any missing cell the fences are unknown: ratio 0."""
     value = F.when(~missing(F.col("value")), F.col("value"))
-    q = exact_percentiles(stacked(df, cols), {"value": value}, (0.25, 0.75))["value"] or [0.0, 0.0]
+    # the cells are stored once, as each step of the percentiles reads them
+    q = exact_percentiles(stored(stacked(df, cols), "cells"), {"value": value}, (0.25, 0.75))["value"] or [0.0, 0.0]
     width = 1.5 * (q[1] - q[0])
     outside = lambda x: (x < q[0] - width) | (x > q[1] + width)
     over = lambda test: reduce(lambda a, b: a + b, [F.count_if(F.coalesce(test(F.col(c).cast("double")), F.lit(False))) for c in cols])

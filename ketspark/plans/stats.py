@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: distinct values around a rank that may come to the driver
 FEW = 20_000
-#: accuracy of the approximate percentiles that bound a rank, and the share of rows left on either side of it
+#: accuracy of the first approximate percentiles that bound a rank, and the share of rows left on either side of it; finer ones have less
 ACCURACY = 2_000
 SLACK = 2.0 / ACCURACY
 
@@ -37,27 +37,56 @@ def column_stats(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float
 def exact_percentiles(df: DataFrame, cols: Mapping[str, Column], percentiles: Sequence[float]) -> dict[str, list[float] | None]:
     """Percentiles of each expression, interpolated between neighbours in order; None without values.
 
-    No task gathers a column: each rank is closed in between two values by approximate percentiles, again and
+    No task gathers a column: the two ranks beside each percentile are closed in between two values by approximate percentiles, again and
     again inside the last bounds, with exact counts below and inside; only when few distinct values are left between
-    the bounds are these counted and brought to the driver."""
+    the bounds are these counted and brought to the driver. Where an approximation missed or came no closer, the next one is
+    asked to be finer. A column of few values is counted at once."""
     rows = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(cols.values())])
-    sizes = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
-    ranks = {(i, r) for i, n in enumerate(sizes) if n for p in percentiles for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-    # (column, rank) -> (lower bound, upper bound, rows below the lower one, rows inside)
-    bounds: dict[tuple[int, int], tuple] = {(i, r): (None, None, 0, sizes[i]) for i, r in ranks}
-    value: dict[tuple[int, int], float] = {}
+    every = [(i, p) for i in range(len(cols)) for p in percentiles]
+    asked = [_approximate(F.col(f"v{i}"), p, p, ACCURACY) for i, p in every]
+    row = rows.agg(*[F.count(c).alias(c) for c in rows.columns], *[a.alias(f"p{k}") for k, a in enumerate(asked)]).first()
+    sizes, ends = row[: len(cols)], dict(zip(every, row[len(cols) :], strict=True))
+    ranks = {(i, p): (math.floor(p * (sizes[i] - 1)), math.ceil(p * (sizes[i] - 1))) for i, p in every if sizes[i]}
+    # (column, percentile) -> (lower bound, upper bound, rows below the lower one, rows inside)
+    bounds: dict[tuple[int, float], tuple] = {(i, p): (None, None, 0, sizes[i]) for i, p in ranks}
+    few = {k: b for k, b in bounds.items() if b[3] <= FEW}
+    found = _looked_up(rows, few, ranks)
+    bounds = {k: b for k, b in bounds.items() if k not in few}
+    accuracy = dict.fromkeys(bounds, ACCURACY)
     while bounds:
-        found = _narrowed(rows, bounds)
-        few = {k: b for k, (b, distinct) in found.items() if distinct <= FEW}
-        value |= _looked_up(rows, few)
-        bounds = {k: b for k, (b, _) in found.items() if k not in few}
+        keys, parts = list(bounds), []
+        for k in keys:
+            (i, _), (low, high) = k, ends[k]
+            parts += [F.count_if(F.col(f"v{i}") < F.lit(low)), F.count_if(_inside(i, low, high)), F.approx_count_distinct(F.when(_inside(i, low, high), F.col(f"v{i}")))]
+        counts, few = rows.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first(), {}
+        for at, k in enumerate(keys):
+            below, n, distinct = counts[3 * at : 3 * at + 3]
+            (low, high), (first, last) = ends[k], ranks[k]
+            if below <= first and last < below + n and low == high:
+                found[k] = (low, low)
+            elif below <= first and last < below + n and n < bounds[k][3]:
+                bounds[k] = (low, high, below, n)
+                if distinct <= FEW:
+                    few[k] = bounds[k]
+            else:
+                accuracy[k] *= 8
+        found |= _looked_up(rows, few, ranks)
+        bounds = {k: b for k, b in bounds.items() if k not in found}
+        if bounds:
+            asked = [_approximate(F.when(_inside(k[0], low, high), F.col(f"v{k[0]}")), *[(r - below) / max(1, n - 1) for r in ranks[k]], accuracy[k]) for k, (low, high, below, n) in bounds.items()]
+            ends = dict(zip(bounds, rows.agg(*[a.alias(f"p{k}") for k, a in enumerate(asked)]).first(), strict=True))
     out: dict[str, list[float] | None] = {}
     for i, name in enumerate(cols):
-        at = [p * (sizes[i] - 1) for p in percentiles]
-        out[name] = [_between(value[i, math.floor(x)], value[i, math.ceil(x)], x) for x in at] if sizes[i] else None
+        out[name] = [_between(*found[i, p], p * (sizes[i] - 1)) for p in percentiles] if sizes[i] else None
     return out
 
 
+def _approximate(x: Column, low: float, high: float, accuracy: int) -> Column:
+    """Two values between which the shares from ``low`` to ``high`` lie, nearly always."""
+    slack = SLACK * ACCURACY / accuracy
+    return F.percentile_approx(x, F.array(F.lit(max(0.0, low - slack)), F.lit(min(1.0, high + slack))), accuracy)
+
+
 def _between(low: float, high: float, at: float) -> float:
     share = at - math.floor(at)
     return low if share == 0 or low == high else (1 - share) * low + share * high
@@ -71,41 +100,18 @@ def _inside(i: int, low: float | None, high: float | None) -> Column:
     return ok if high is None else ok & (x <= F.lit(high))
 
 
-def _narrowed(rows: DataFrame, bounds: dict) -> dict:
-    """(closer bounds, about how many distinct values are inside) of each rank."""
-    keys = list(bounds)
-    parts = []
-    for i, r in keys:
-        low, high, below, n = bounds[i, r]
-        share = (r - below) / n
-        ends = F.array(F.lit(max(0.0, share - SLACK)), F.lit(min(1.0, share + SLACK)))
-        parts.append(F.percentile_approx(F.when(_inside(i, low, high), F.col(f"v{i}")), ends, ACCURACY))
-    closer = rows.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first()
-    parts = []
-    for (i, _), (low, high) in zip(keys, closer, strict=True):
-        parts += [F.count_if(F.col(f"v{i}") < F.lit(low)), F.count_if(_inside(i, low, high)), F.approx_count_distinct(F.when(_inside(i, low, high), F.col(f"v{i}")))]
-    counts = rows.agg(*[p.alias(f"p{k}") for k, p in enumerate(parts)]).first()
-    out = {}
-    for k, ((i, r), (low, high)) in enumerate(zip(keys, closer, strict=True)):
-        below, n, distinct = counts[3 * k : 3 * k + 3]
-        if low == high and below <= r < below + n:
-            distinct = 1
-        # an approximation that missed the rank, or that can't get closer: what was there before is counted as it is
-        old = bounds[i, r]
-        out[i, r] = ((low, high, below, n), distinct) if below <= r < below + n and n < old[3] else (old, 0)
-    return out
-
-
-def _looked_up(rows: DataFrame, bounds: dict) -> dict[tuple[int, int], float]:
-    """Values of ranks with few distinct values between their bounds: these are counted by value."""
+def _looked_up(rows: DataFrame, bounds: dict, ranks: dict) -> dict[tuple[int, float], tuple[float, float]]:
+    """Values of both ranks, where few distinct values are between the bounds: these are counted by value."""
     keys = list(bounds)
     if not keys:
         return {}
-    cells = F.array_compact(F.array(*[F.when(_inside(i, *bounds[i, r][:2]), F.struct(F.lit(k).alias("k"), F.col(f"v{i}").alias("x"))) for k, (i, r) in enumerate(keys)]))
+    cells = F.array_compact(F.array(*[F.when(_inside(k[0], *bounds[k][:2]), F.struct(F.lit(n).alias("k"), F.col(f"v{k[0]}").alias("x"))) for n, k in enumerate(keys)]))
     counted = rows.select(F.explode(cells).alias("cell")).groupBy("cell.k", "cell.x").count().orderBy("k", "x").collect()
-    out, passed = {}, [bounds[k][2] for k in keys]
-    for k, x, n in counted:
-        passed[k] += n
-        if keys[k] not in out and passed[k] > keys[k][1]:
-            out[keys[k]] = x
-    return out
+    out: dict[tuple[int, float], list[float]] = {k: [] for k in keys}
+    passed = [bounds[k][2] for k in keys]
+    for n, x, times in counted:
+        k = keys[n]
+        passed[n] += times
+        while len(out[k]) < 2 and passed[n] > ranks[k][len(out[k])]:
+            out[k].append(x)
+    return {k: (low, high) for k, (low, high) in out.items()}
