@@ -3,8 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars); the
 last returns packed pieces. Every stage is one of the operators in ``ketspark.llm``, applied to its whole input.
 
-Nulls and repeated rows are treated as the operators say; the near-duplicate stage keeps one row of each
-class, of equal ids any one of the equal rows, and every row without an id.
+Nulls and repeated rows are treated as the operators say; the near-duplicate stage keeps one row of each class and every row
+without an id. Rows of one id and one text are one document; those of one id and different texts are documents of their own, and stay
+if no other document is near them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ketspark.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup
 from ketspark.llm.common import small, stored
 from ketspark.llm.tokens import default_tokenizer
+from ketspark.plans.numbering import numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,12 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest id."""
+    """One document of each near-duplicate class, the one with the smallest id (and of equal ids, the text of the smallest hash)."""
+    named = F.col("doc_id").isNotNull()
+    if docs.where(named).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # numbers in order of ids take their place
+        rows = docs.where(named).withColumn("__text", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text"])
+        rows = stored(numbered(rows, "doc_id", "__text", name="__row"), "rows")
+        found = jaccard_join.near_duplicates(rows, "__row").where(F.col("__row") != F.col("class_id")).select(F.col("__row").alias("__gone"))
+        left = rows.join(small(found), F.col("__row") == F.col("__gone"), "left_anti")
+        return left.select(*COLUMNS).unionByName(docs.where(~named).select(*COLUMNS))
     found = jaccard_join.near_duplicates(docs)
     gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
     return left.select(*COLUMNS)
 
 

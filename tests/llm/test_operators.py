@@ -430,3 +430,18 @@ def test_pipeline(spark, docs, tmp_path):
             if k == 3:
                 assert 34 not in ids and 35 not in ids
     assert {r.doc_id for r in out.collect()} == set(ids)
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = " ".join(["changed", *b.split()[1:]])
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, c), (3, None), (3, ""), (4, c), (None, d), (None, d), (5, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()
+    assert [x for x in left[0].asDict()] == list(corpus_pipeline.COLUMNS)
+    assert sorted((r.doc_id, r.text or "") for r in left if r.doc_id is not None) == sorted([(1, a), (1, b), (3, c), (3, "")])
+    assert sum(r.doc_id is None for r in left) == 2
