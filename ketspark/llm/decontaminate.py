@@ -10,7 +10,7 @@ as leaked if the passage then holds its question and its answer: at least ``OVER
 shingles of both parts; a part of fewer words must be there as it is.
 
 The index is broadcast in blocks of at most ``MAX_ITEM_WORDS`` words of items; a larger benchmark takes
-several passes. Documents are never shuffled.
+several passes, with the statistics of the whole benchmark in each, so that scores don't depend on the blocks. Documents are never shuffled.
 
 Words are compared in lower case without surrounding signs. Nulls: a null text has no passages, null
 or empty items match nothing. Repeated rows are judged each for itself; equal items (ties) are found both. Empty tables
@@ -21,15 +21,16 @@ columns, whatever they are called.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import as_bytes, portions, small_batches
+from ketspark.llm.common import as_bytes, portions, small_batches, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -64,10 +65,19 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words(body[:cut]), words(body[cut:])
 
 
+class Whole(NamedTuple):
+    """What a block of items has to know of the whole benchmark: items, mean and largest number of words, items by term."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Inverted index with block maxima over items (id, text)."""
+    """Inverted index with block maxima over items (id, text); BM25's statistics are those of the whole benchmark, if it has more items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
         parts = [(i, *question_and_answer(t)) for i, t in items]
         parts = [p for p in parts if p[1] or p[2]]
         self.ids = [p[0] for p in parts]
@@ -85,8 +95,10 @@ class Index:
         n, df = len(bags), np.zeros(len(self.terms))
         for bag in bags:
             df[list(bag)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if n else df
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
+        size, mean = n, sum(sum(b.values()) for b in bags) / max(1, n)
+        if whole:
+            size, mean, self.longest, df = whole.n, whole.mean, whole.longest, np.array([whole.df[t] for t in self.terms], float)
+        idf = np.log(1 + (size - df + 0.5) / (df + 0.5)) if n else df
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, bag in enumerate(bags):
             norm = K1 * (1 - B + B * sum(bag.values()) / mean)
@@ -239,17 +251,52 @@ class Matcher:
         return found
 
 
+def term_counts(items: DataFrame, text_col: str) -> DataFrame:
+    """(term, items, words, longest), stored: items that have each term; the row of the null term is for all items."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, words, longest = Counter(), 0, 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = [w for part in question_and_answer(text) for w in part]
+                held.update(set(own))
+                n, words, longest = n + bool(own), words + len(own), max(longest, len(own))
+            if len(held) > 200_000:
+                yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), *[pa.array([0] * len(held), pa.int64())] * 2], names)
+                held.clear()
+        sums = [[*held.values(), n], [0] * len(held) + [words], [0] * len(held) + [longest]]
+        yield pa.record_batch([pa.array([*held, None], pa.string()), *[pa.array(x, pa.int64()) for x in sums]], names)
+
+    names = ["term", "items", "words", "longest"]
+    counted = items.select(text_col).mapInArrow(count, "term string, items long, words long, longest long")
+    return stored(counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "terms")
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of at most MAX_ITEM_WORDS words of items each, in id order."""
-    size, held = 0, []
-    for r in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1].split())
+    """Indexes of at most MAX_ITEM_WORDS words of items each, in id order. Of more than one block all have the statistics of the whole
+    benchmark, which Spark counts; the driver gets those of a block's own terms."""
+    items = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    size, held, counted = 0, [], None
+    rows = items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator()
+
+    def index() -> Index:
+        if counted is None:
+            return Index(held)
+        own = {w for _, text in held for part in question_and_answer(text) for w in part}
+        terms = benchmark.sparkSession.createDataFrame([(w,) for w in own], "term string")
+        all_items = counted.where("term is null").first()
+        df = {r.term: r["items"] for r in counted.join(F.broadcast(terms), "term").select("term", "items").collect()}
+        return Index(held, Whole(all_items["items"], all_items.words / max(1, all_items["items"]), max(1, all_items.longest), df))
+
+    for r in rows:
         if size >= MAX_ITEM_WORDS:
-            yield Index(held)
+            counted = counted or term_counts(items, text_col)
+            yield index()
             size, held = 0, []
+        held.append((r[0], r[1]))
+        size += len(r[1].split())
     if held:
-        yield Index(held)
+        yield index()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:

@@ -445,3 +445,21 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     assert [x for x in left[0].asDict()] == list(corpus_pipeline.COLUMNS)
     assert sorted((r.doc_id, r.text or "") for r in left if r.doc_id is not None) == sorted([(1, a), (1, b), (3, c), (3, "")])
     assert sum(r.doc_id is None for r in left) == 2
+
+
+@pytest.mark.parametrize("words", [1, 40, 300])
+def test_scores_do_not_depend_on_blocks_of_items(spark, words, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(150)]
+    item = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, f"{item(rng.randint(8, 40))}. {item(rng.randint(2, 12))}") for i in range(30)] + [(30, ""), (31, None), (None, "no id"), (32, "...")]
+    changed = lambda t: " ".join(w if rng.random() > 0.03 else "other" for w in t.split())
+    rows = [(i, f"{item(60)} {changed(items[i % 30][1])} {item(40)} {items[(7 * i) % 30][1]}") for i in range(60)] + [(90, None), (91, "")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    found = lambda: {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    expected = found()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", words)
+    got = found()
+    assert len(expected) >= 60 and got.keys() == expected.keys()
+    assert all(np.allclose(got[k], v, rtol=1e-12) for k, v in expected.items())
+    assert {r.doc_id for r in decontaminate.clean_documents(docs.limit(5), benchmark).collect()} == {r.doc_id for r in docs.limit(5).collect()} - {k[0] for k in expected}
