@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,9 +34,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form header menu dialog button head".split())
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: names of parts that are not main text, as words of a class, id or role
+#: names of parts that are not main text, as words of a class, id or role; what has them, or has none, isn't one of them
 NAMED = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|sign-in|login|sidebar|widgets?|related"
+    r"(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w*|signup|sign-in|login|sidebar|widgets?|related"
     r"|recommend\w*|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|comments?|discussion|disqus|repl(?:y|ies)|respond|feedback"
     r"|search|form|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo)(?![a-z])",
     re.I,
@@ -106,7 +107,8 @@ class Block(NamedTuple):
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, article, furniture, named (with those around)
+    stack: list[tuple[str, int, int, int]] = []  # name, article, furniture (2 for a form alone), named (with those around)
+    opened: Counter[str] = Counter()  # names on the stack: a closing tag without an opening one is passed over at once
     parts: list[tuple[str, bool]] = []
     link = heading = 0
 
@@ -118,7 +120,7 @@ def blocks(page: str) -> list[Block]:
                 n = len(text.split(" "))
                 linked = sum(len(t.split()) for t, inside in parts if inside)
                 _, article, furniture, named = stack[-1] if stack else ("", 0, 0, 0)
-                out.append(Block(text, n, min(1.0, linked / n), article, furniture, named, heading))
+                out.append(Block(text, n, min(1.0, linked / n), article, int(furniture > 0), named, heading))
             parts.clear()
 
     at = 0
@@ -139,23 +141,26 @@ def blocks(page: str) -> list[Block]:
         flush()
         link = 0
         if m.closing:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != name:
-                depth -= 1
-            if depth >= 0 and not (name == "p" and depth < len(stack) - 1):
-                del stack[depth:]
+            if opened[name] and (name != "p" or stack[-1][0] == "p"):
+                while True:
+                    closed = stack.pop()[0]
+                    opened[closed] -= 1
+                    if closed == name:
+                        break
             heading = 0
         elif name not in VOID:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name or stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             _, article, furniture, named = stack[-1] if stack else ("", 0, 0, 0)
             if name in ("article", "main"):
-                article, named = 1, 0  # names of what is around it, such as "with-sidebar", say nothing about it
+                # names of what is around it, such as "with-sidebar", say nothing about it, nor does a form around the whole page
+                article, named, furniture = 1, 0, furniture & 1
             if name in FURNITURE and not (name == "header" and article):
-                furniture = 1
+                furniture |= 2 if name == "form" else 1
             if name not in ("html", "body", "article", "main") and "=" in m.rest and any(NAMED.search(a or b or c) for a, b, c in ATTRIBUTE.findall(m.rest)):
                 named = 1
             stack.append((name, article, furniture, named))
+            opened[name] += 1
             heading = int(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
     if at < len(page):
         parts.append((page[at:], link > 0))

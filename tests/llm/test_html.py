@@ -35,6 +35,26 @@ def test_broken_pages_take_linear_time(unit, end):
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("first,then", [("<div>", "</section>"), ("<div>", "</p>"), ("<form>", "</form></ul>"), ("<section><p>", "</p></td>")])
+def test_closing_tags_of_nothing_take_linear_time(first, then):
+    n = 1_000_000 // len(first + then)
+    began = time.time()
+    H.blocks(first * n + then * n)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("page", ['<body><form id="aspnetForm"><article><p>{}</p></article></form>', "<div class='content has-sidebar'><p>{}</p></div>", "<div class='page no-sidebar with-comments'><main><h1>{}</h1></main></div>", "<form><div><article><div><p>{}</p></div></article></div></form>"])
+def test_what_is_around_a_text_does_not_hide_it(page):
+    text = ("word " * 60).strip()
+    assert H.main_text(page.format(text), H.grow(H.labelled_rows())) == text
+
+
+def test_forms_and_sidebars_stay_out():
+    tree, text = H.grow(H.labelled_rows()), "word " * 60
+    for page in ("<body><form><p>{}</p></form>", "<article><form><p>{}</p></form></article>", "<aside><article><p>{}</p></article></aside>", "<div class='sidebar'><p>{}</p></div>"):
+        assert H.main_text(page.format(text), tree) == "", page
+
+
 def test_awkward_tables(spark):
     schema = "page_id long, url string, html string, text string, words int"
     good = "<body><nav><a href=/>home</a></nav><article><p>" + "word " * 30 + "</p></article></body>"
