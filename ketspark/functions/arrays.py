@@ -37,3 +37,8 @@ def product(values: list[Column]) -> Column:
 def argmin(values: Column) -> Column:
     """Index from 0 of the first smallest element."""
     return (F.array_position(values, F.array_min(values)) - 1).cast("long")
+
+
+def complete(values: list[Column]) -> Column:
+    """Whether none of the numbers is null or NaN."""
+    return reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v.cast("double")) for v in values], F.lit(True))

@@ -3,6 +3,9 @@
 K(x, y) = prod cos^2((x_i - y_i)/2) over the first n features, since cos^2(d/2) = (1 + cos d)/2. With
 phi(x) = tensor of (1, cos x_i, sin x_i), K(x, y) = 2^-n <phi(x), phi(y)>: mean kernels, drift, ridge
 regression and kernel PCA are then linear-time aggregates over 3^n features.
+
+Rows with a null or NaN feature (or target) are left out of every fit and mean, and get null for what is computed of
+them. Repeated rows count as often as they are there. Means over no rows are null, and models can't be fitted to none.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.base import Transformer
-from ketspark.functions.arrays import argmin, product
+from ketspark.functions.arrays import argmin, complete, product
 from ketspark.plans.numbering import shuffle_key
+from ketspark.plans.storage import stored
 
 #: 3^n columns are planned for each row up to this n
 MAX_MAP = 6
@@ -55,7 +59,7 @@ def feature_map(x: Sequence[Column], scale: float = 1.0) -> list[Column]:
 def mean_map(df: DataFrame, cols: Sequence[str], by: Column | None = None) -> DataFrame:
     """Mean of phi, of all rows or by group ``g``: (g, n, phi array)."""
     means = [F.avg(f).alias(f"f{i}") for i, f in enumerate(feature_map([F.col(c).cast("double") for c in cols]))]
-    grouped = df.groupBy((F.lit(0) if by is None else by).alias("g"))
+    grouped = df.where(complete([F.col(c) for c in cols])).groupBy((F.lit(0) if by is None else by).alias("g"))
     return grouped.agg(F.count("*").alias("n"), *means).select("g", "n", F.array(*[f"f{i}" for i in range(len(means))]).alias("phi"))
 
 
@@ -95,7 +99,7 @@ def assign(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequence[floa
     """``df`` with the index of the nearest centroid; ties go to the lowest."""
     n = min(n_qubits, len(cols))
     x = [F.col(c).cast("double") for c in cols[:n]]
-    return df.withColumn("cluster", argmin(F.array(*[kernel_distance(x, [F.lit(float(v)) for v in c[:n]]) for c in centroids])))
+    return df.withColumn("cluster", F.when(complete(x), argmin(F.array(*[kernel_distance(x, [F.lit(float(v)) for v in c[:n]]) for c in centroids]))))
 
 
 class KernelKMeans(Transformer):
@@ -109,8 +113,11 @@ class KernelKMeans(Transformer):
         self.centroids: list[list[float]] = []
 
     def fit(self, df):
+        df = stored(df.select(*dict.fromkeys([*self.cols, *([self.key] if self.key else [])])).where(complete([F.col(c) for c in self.cols])), "clustered")  # read at every step
         order = shuffle_key(F.col(self.key) if self.key else F.concat_ws(",", *self.cols), self.seed)
         self.centroids = [[float(v) for v in r] for r in df.select(*self.cols, order.alias("__r")).orderBy("__r", *self.cols).limit(self.k).drop("__r").collect()]
+        if not self.centroids:
+            raise ValueError("no rows to fit")
         for _ in range(self.max_iter):
             means = {r[0]: [float(v) for v in r[1:]] for r in assign(df, self.cols, self.centroids, self.n_qubits).groupBy("cluster").agg(*[F.avg(c) for c in self.cols]).collect()}
             moved = [means.get(i, c) for i, c in enumerate(self.centroids)]
@@ -128,11 +135,12 @@ class KernelKMeans(Transformer):
 
 
 def second_moments(features: Sequence[Column], y: Column | None, df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean of (features, y) and mean of their products, over one aggregate of partition sums."""
+    """Rows, mean of (features, y) and mean of their products, over one aggregate of partition sums. Rows that lack any of them don't count."""
     import pyarrow as pa
 
     d = len(features) + (y is not None)
     rows = df.select(F.array(*features, *([y] if y is not None else [])).alias("v"))
+    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
     def sums(batches):
         n, s, ss = 0, np.zeros(d), np.zeros((d, d))
@@ -162,13 +170,16 @@ class KernelRidge(Transformer):
 
     def fit(self, df):
         n, _, m = second_moments(self._map(), F.col(self.target).cast("double"), df)
+        if not n:
+            raise ValueError("no rows to fit")
         a, b = m[:-1, :-1] * n, m[:-1, -1] * n
         self.params = {"w": np.linalg.solve(a + self.alpha * np.eye(len(a)), b).tolist()}
         return self
 
     def transform(self, df):
         w = self.fitted()["w"]
-        return df.withColumn("prediction", sum((f * v for f, v in zip(self._map(), w, strict=True)), F.lit(0.0)))
+        known = complete([F.col(c) for c in self.cols])
+        return df.withColumn("prediction", F.when(known, sum((f * v for f, v in zip(self._map(), w, strict=True)), F.lit(0.0))))
 
 
 class KernelPCA(Transformer):
@@ -183,7 +194,9 @@ class KernelPCA(Transformer):
         return [f * norm for f in feature_map([F.col(c).cast("double") for c in self.cols])]
 
     def fit(self, df):
-        _, mean, m = second_moments(self._map(), None, df)
+        n, mean, m = second_moments(self._map(), None, df)
+        if not n:
+            raise ValueError("no rows to fit")
         values, vectors = np.linalg.eigh(m - np.outer(mean, mean))
         top = vectors[:, np.argsort(values)[::-1][: self.n_components]]
         top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])])
@@ -193,4 +206,5 @@ class KernelPCA(Transformer):
     def transform(self, df):
         p = self.fitted()
         fs = self._map()
-        return df.withColumns({f"pc{k}": sum(((f - float(m)) * float(v) for f, m, v in zip(fs, p["mean"], p["top"][:, k], strict=True)), F.lit(0.0)) for k in range(p["top"].shape[1])})
+        known = complete([F.col(c) for c in self.cols])
+        return df.withColumns({f"pc{k}": F.when(known, sum(((f - float(m)) * float(v) for f, m, v in zip(fs, p["mean"], p["top"][:, k], strict=True)), F.lit(0.0))) for k in range(p["top"].shape[1])})
