@@ -44,8 +44,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that start anywhere else as well."""
-    cut = suffix_dedup.remove_strings(docs.select(*COLUMNS))
+    """Documents without the strings of 400 bytes, and without the passages of over 50 words, that start anywhere else as well."""
+    cut = suffix_dedup.remove_strings(docs.select(*COLUMNS), words=51)
     whole = F.col("repeats.n_removed") == 0
     # a cut may fall inside a character: what is left of it goes
     text = F.when(whole, F.col("text")).otherwise(characters(F.col("repeats.kept")))

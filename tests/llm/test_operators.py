@@ -113,6 +113,19 @@ def repeats_of(texts, length):
     return [len(t) - length >= s and n[t[s : s + length]] > 1 for t in texts for s in range(len(t))]
 
 
+def test_one_order_gives_repeats_of_two_lengths():
+    rng = random.Random(2)
+    for _ in range(300):
+        long = rng.choice([9, 12, 20, 40, 100])
+        short = rng.randint(4, long)
+        letters = rng.choice([b"a", b"ab", b"abcdefgh", bytes(range(256))])
+        base = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 150))) for _ in range(4)]
+        texts = [b"".join(rng.choice(base)[: rng.randint(1, 150)] for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 6))]
+        starts = np.array([len(t) for t in texts])
+        got = suffix_dedup.Parse(texts, long).repeats((long, short), starts)
+        assert [x.tolist() for x in got] == [repeats_of(texts, long), repeats_of(texts, short)]
+
+
 def test_parse_finds_all_repeats():
     rng = random.Random(1)
     for _ in range(400):
@@ -432,6 +445,26 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(ids)
 
 
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(1000)}" for _ in range(n)]
+    over, fifty = text(51), text(50)
+    assert len(" ".join(over)) < 400  # too short for strings of 400 bytes
+    long = "x" * 500  # fewer words, but over 400 bytes
+    given = [(text(9), text(9)) for _ in range(6)]
+    rows = [[*a, *own, *b] for (a, b), own in zip(given, (over, over, fifty, fifty, [long], [long]), strict=True)]
+    texts = ["  ".join(r) if i == 1 else " ".join(r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    for i in (0, 1):
+        assert left[i].text.split() == [*given[i][0], *given[i][1]]
+    assert [left[i].text for i in (2, 3)] == texts[2:4]
+    assert long not in left[4].text and long not in left[5].text
+    assert all(r.n_chars == len(r.text) for r in left.values())
+
+
 def test_pipeline_keeps_texts_that_share_an_id(spark):
     import corpus_pipeline
 
