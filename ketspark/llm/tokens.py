@@ -20,11 +20,14 @@ import os
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator, Sequence
-from itertools import batched, chain
+from itertools import batched, chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -32,75 +35,114 @@ from pyspark.sql.types import LongType
 from ketspark.llm.common import as_bytes, new_path, portions, small_batches
 
 
-#: words of lower-case letters that the tokenizer leaves as they are, and then signs that it parts from them
-PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([.,;:!?*#%&$|]*)")
+#: signs that the tokenizer parts from the letters before them, and lower-case letters that it leaves as they are
+SIGNS = ".,;:!?*#%&$|"
+PLAIN = r"\A[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]*\z"
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*")
 #: the characters by which a byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100
 OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-LETTERS = {b: b for b in OWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in OWN)}
+CHARACTERS = {b: b for b in OWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in OWN)}
+ALPHABET = "".join(chr(CHARACTERS[b]) for b in range(256))
+ID = attrgetter("id")
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     #: words learnt before the older ones are let go; those that are met again meanwhile stay
-    MEMO = 100_000
-    BLOCK = 256
+    MEMO = 200_000
+    BLOCK = 1000
+    #: words whose ids are put together at a time
+    STRETCH = 1 << 19
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Distinct words of a block are looked up once; the ids of its texts are gathered by the words' numbers."""
         for at in range(0, len(texts), self.BLOCK):
-            split = [folded(t).split() for t in texts[at : at + self.BLOCK]]
-            words = list(chain.from_iterable(split))
-            ids = list(map(self.known.get, words))
-            new = [i for i, x in enumerate(ids) if x is None]
-            if new:
-                if len(self.known) > self.MEMO:
-                    self.known, self.older = {}, self.known
-                self.learn({words[i] for i in new})
-                for i in new:
-                    ids[i] = self.known[words[i]]
+            data = pa.array(map(folded, texts[at : at + self.BLOCK]), pa.binary())
+            # taken for strings as it is: only ASCII bytes are looked at
+            split = pa.compute.ascii_split_whitespace(pa.StringArray.from_buffers(len(data), *data.buffers()[1:]))
+            coded = split.flatten().dictionary_encode()
+            ids = self.of_words(coded.dictionary)
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            before, codes = np.cumsum(n) - n, coded.indices.to_numpy()
+            ends = np.concatenate(([0], np.cumsum(n[codes])))
+            out = np.empty(int(ends[-1]), "<u4")
+            for lo in range(0, len(codes), self.STRETCH):
+                own, e = codes[lo : lo + self.STRETCH], ends[lo : lo + self.STRETCH + 1]
+                out[e[0] : e[-1]] = flat[np.repeat(before[own] - e[:-1], n[own]) + np.arange(e[0], e[-1])]
+            bounds = ends[split.offsets.to_numpy()].tolist()
+            for lo, hi in pairwise(bounds):
+                yield out[lo:hi].tobytes()
+
+    def of_words(self, words: pa.StringArray) -> list[bytes]:
+        """Ids of each word. A plain word has the ids of its letters and then those of its signs."""
+        letters = pa.compute.ascii_rtrim(words, characters=SIGNS)
+        plain = pa.compute.and_(pa.compute.ascii_is_alpha(letters), pa.compute.ascii_is_lower(letters)).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        plain[rest] = pa.compute.match_substring_regex(letters.take(pa.array(rest)), PLAIN).to_numpy(zero_copy_only=False)
+        letters = pa.compute.if_else(pa.array(plain), letters, words)
+        stems = letters.dictionary_encode()
+        of_stem = self.of(as_list(stems.dictionary))
+        ids = list(map(of_stem.__getitem__, stems.indices.to_numpy().tolist()))
+        size = pa.compute.binary_length(letters).to_numpy()
+        parted = np.flatnonzero(size != pa.compute.binary_length(words).to_numpy())
+        signs = [w[k:] for w, k in zip(as_list(words.take(pa.array(parted))), size[parted].tolist(), strict=True)]
+        distinct = list(set(signs))
+        of_signs = dict(zip(distinct, self.of(distinct), strict=True))
+        for i, own in zip(parted.tolist(), signs, strict=True):
+            ids[i] += of_signs[own]
+        return ids
+
+    def of(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each of the distinct words, letters or signs."""
+        ids = list(map(self.known.get, parts))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            if len(self.known) > self.MEMO:
+                self.known, self.older = {b"": b""}, self.known
+            self.learn([parts[i] for i in new])
+            for i in new:
+                ids[i] = self.known[parts[i]]
+        return ids
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Plain letters are in the tokenizer's own alphabet already and go to its model alone."""
+        known, older, plain, others = self.known, self.older, [], []
+        for x in parts:
+            if x in older:
+                known[x] = older[x]
+            elif x.isalpha() and x.islower() or LETTERS.fullmatch(x):
+                plain.append(x)
+            else:
+                others.append(x)
+        for own in batched(plain, 10_000):
+            found = list(map(self.tokenizer.model.tokenize, [charmap_decode(x, "strict", ALPHABET)[0] for x in own]))
+            ids = array("I", map(ID, chain.from_iterable(found))).tobytes()
             lo = 0
-            for own in split:
-                yield b"".join(ids[lo : lo + len(own)])
-                lo += len(own)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. A plain word has the ids of its letters and then those of its signs; its letters are
-        in the tokenizer's own alphabet already and go to its model alone."""
-        known, older, model, others = self.known, self.older, self.tokenizer.model, []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            plain = PLAIN.fullmatch(w)
-            if not plain:
-                others.append(w)
-                continue
-            letters, signs = plain.groups()
-            if letters and letters not in known and letters in older:
-                known[letters] = older[letters]
-            elif letters and letters not in known:
-                own = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(LETTERS)
-                known[letters] = array("I", [t.id for t in model.tokenize(own)]).tobytes()
-            if signs and signs not in known:
-                self.ask([signs])
-            if letters and signs:
-                known[w] = known[letters] + known[signs]
-        for part in batched(others, 10_000):
-            self.ask(part)
+            for x, n in zip(own, map(len, found), strict=True):
+                known[x] = ids[lo : (lo := lo + 4 * n)]
+        for own in batched(others, 10_000):
+            self.ask(own)
 
     def ask(self, words: Sequence[bytes]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
             self.known[word] = array("I", e.ids).tobytes()
 
 
+def as_list(words: pa.StringArray) -> list[bytes]:
+    """``to_pylist`` of the bytes; it makes no scalars on the way, which take longer than all else that is done with a word."""
+    return words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def folded(text: bytes) -> bytes:
     """A-Z in lower case, as the tokenizer has them; not in texts with combining marks (U+0300..U+036F),
     which the tokenizer joins with letters before it lowers them."""

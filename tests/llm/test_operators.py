@@ -201,6 +201,18 @@ def test_encoder_has_the_ids_of_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(o, add_special_tokens=False).ids, ascii(o)
 
 
+def test_encoder_learns_letters_once_whatever_signs_follow(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens.Encoder, "STRETCH", 3, raising=False)
+    t, own = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    texts = ["quuxle quuxle. quuxle!! \u00e9t\u00e9, \u00c9t\u00e9, ...", "", " \t\x0b", "quuxle# don't quuxle", "\u00e9t\u00e9&&"]
+    for x, ids in zip(texts, own.encode([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert b"quuxle" in own.known and "\u00e9t\u00e9".encode() in own.known
+    assert not {b"quuxle.", b"quuxle!!", b"quuxle#"} & own.known.keys()
+
+
 def test_wand_finds_all():
     rng = random.Random(2)
     items = [(i, " ".join(f"t{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(3, 30)))) for i in range(80)]
