@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java character class of the word separators.
@@ -56,6 +56,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and the aggregates ``sums`` of all rows, which the write takes on its way."""
+    seen = Observation()
+    out = stored(df.observe(seen, *sums), name)
+    return out, seen.get
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, portions, release, small, small_batches, stored
+from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, observed, portions, release, small, small_batches, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -184,22 +184,21 @@ def candidate_links(signed: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, class): smallest id connected with each id of the links (a, b), by alternating stars."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    """(id, class): smallest id connected with each id of the links (a, b), by alternating stars. Count and checksum of a round's
+    edges are taken while they are written: a round is one query."""
+    seen = lambda: (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    edges, now = observed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", *seen())
+    before = {"n": -1} if now["n"] else now
+    while now != before:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u <> v")
+        # rows that come twice change no minimum; they go with the last distinct
+        down = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        small_ = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small_, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
+        small_ = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         before = now
+        edges, now = observed(small_, "edges", *seen())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
 def verified(group: list[tuple]) -> list[tuple]:

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketspark.llm.common import SPACE, stored
+from ketspark.llm.common import SPACE, observed, stored
 
 SYMBOLS = "#*$%&|<>"
 SIGNS = "!\"'()+,-./:;=?@[\\]^_`{}~"
@@ -155,9 +155,10 @@ def fit(rows: DataFrame) -> DataFrame:
         step = moments(nearest(with_distance(rows, fitted, "g").select("g", *xs, "d2"), "g"), "g")
         both = fitted.select("g", F.struct(*names).alias("old")).join(step.select("g", F.struct(*names).alias("new")), "g")
         falls = F.col("new.log_det") < F.col("old.log_det") - FALL
-        chosen = stored(both.select(F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), falls.alias("falls")), "estimate")
-        fitted = chosen.select("e.*")
-        if not chosen.where("falls").limit(1).count():
+        chosen = both.select(F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), falls.alias("falls"))
+        fitted, left = observed(chosen, "estimate", F.count_if("falls").alias("n"))
+        fitted = fitted.select("e.*")
+        if not left["n"]:
             break
     scale = with_distance(rows, fitted, "g").groupBy("g").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI2_MEDIAN).alias("scale"))
     return stored(fitted.join(scale, "g"), "estimate")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ketspark.llm import anchors, decontaminate, html_extract, jaccard_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm, tokens, warc
+from ketspark.llm import anchors, common, decontaminate, html_extract, jaccard_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, repeats string, n_words long, rep string, row long, n int, place int"
 ITEMS = [(1, "the blue heron waits beside seven narrow canals and never asks why. Because fish come home."), (2, None), (3, ""), (4, "short question only")]
@@ -201,6 +201,26 @@ def test_encoder_has_the_ids_of_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(o, add_special_tokens=False).ids, ascii(o)
 
 
+def test_components_take_one_query_a_round(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 112)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(200, j) for j in range(201, 230)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    written, links = [], [spark.createDataFrame(p, "a long, b long") for p in (pairs, [(7, j) for j in range(8, 12)], [(5, 5)])]
+    real = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(type(links[0]), "first", lambda self: pytest.fail("a query beside the round's own"))
+    every, star, none = map(jaccard_join.components, links)
+    in_all = len(written)
+    assert {tuple(r) for r in every.collect()} == {(x, c) for x, c in label.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    assert sorted(map(tuple, star.collect())) == [(j, 7) for j in range(7, 12)] and none.count() == 0
+    written.clear()
+    jaccard_join.components(links[1])
+    assert len(written) == 2 and in_all < 16  # the edges, and the one round that changes nothing
+
+
 def test_encoder_learns_letters_once_whatever_signs_follow(monkeypatch):
     from tokenizers import Tokenizer
 
