@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ketspark.llm.common import WordHashes, as_bytes, grams, join_spread, mix, observed, portions, release, small, small_batches, stored
@@ -40,6 +40,8 @@ BLOCK = 500
 LEVELS = 3
 #: sets of a large bucket that every block of it is compared with, about
 PIVOTS = 50
+#: links that a task joins in memory at a time, some 4 MB
+PORTION = 250_000
 
 
 def shingle_set(data: bytes, hashes: WordHashes) -> np.ndarray:
@@ -135,8 +137,15 @@ def by_key(rows: DataFrame, judge: Callable[[list[tuple]], list[tuple]], schema:
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(walk, schema)
 
 
-def dense_links(inside: DataFrame, pairs: tuple) -> tuple[DataFrame, DataFrame]:
-    """Links in the buckets (k, count, id, n, sketch) that are dense, and the rows of all other buckets.
+def meeting(rows: DataFrame, origin: int, i: Column | None = None, j: Column | None = None) -> DataFrame:
+    """(k, origin, i, j, id, n, sketch): rows of one bucket, origin and pair of blocks are compared with each other."""
+    none = F.lit(0)
+    return rows.select("k", F.lit(origin).alias("origin"), (none if i is None else i).alias("i"), (none if j is None else j).alias("j"), "id", "n", "sketch")
+
+
+def dense_links(inside: DataFrame, pairs: tuple, origin: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links in the buckets (k, count, id, n, sketch) that are dense, rows of these that still have to be compared (as by ``meeting``),
+    and the rows of all other buckets.
 
     First each block of a bucket is linked inside itself and with a few pivots of the bucket. What is
     connected then needs no more comparisons; if all but at most BLOCK sets of a bucket are one component,
@@ -147,40 +156,42 @@ def dense_links(inside: DataFrame, pairs: tuple) -> tuple[DataFrame, DataFrame]:
     row = ("k", "i", "id", "n", "sketch")
     pivots = own.where(F.pmod(F.xxhash64("k", "id", F.lit("pivot")), F.col("count")) < PIVOTS).select("k", every, "id", "n", "sketch", F.col("i").alias("home")).where("i <> home").drop("home")
     star = stored(by_key(own.select(*row).unionAll(pivots), sketch_links, "a long, b long", pairs, keys=2).distinct(), "links")
-    labelled = stored(own.join(components(star), "id", "left").withColumn("class", F.coalesce("class", "id")), "labelled")
+    labelled = stored(own.join(classes_of(star), "id", "left").withColumn("class", F.coalesce("class", "id")), "labelled")
     parts = labelled.groupBy("k", "class").agg(F.count("*").alias("size"), F.first("count").alias("count"))
     major = parts.groupBy("k").agg(F.max_by("class", F.struct("size", "class")).alias("major"), (F.first("count") - F.max("size")).alias("n_minor")).where(F.col("n_minor") <= BLOCK)
     judged = stored(labelled.join(small(stored(major, "major")), "k", "left"), "judged")
     dense = judged.where(F.col("major").isNotNull())
     minors = dense.where(F.col("class") != F.col("major")).select("k", every, "id", "n", "sketch")
-    more = by_key(dense.where((F.col("class") == F.col("major")) & (F.col("n_minor") > 0)).select(*row).unionAll(minors), sketch_links, "a long, b long", pairs, keys=2)
-    return star.unionAll(more), judged.where(F.col("major").isNull()).select("k", "count", "id", "n", "sketch")
+    more = dense.where((F.col("class") == F.col("major")) & (F.col("n_minor") > 0)).select(*row).unionAll(minors)
+    return star, meeting(more, origin, F.col("i")), judged.where(F.col("major").isNull()).select("k", "count", "id", "n", "sketch")
 
 
 def candidate_links(signed: DataFrame) -> DataFrame:
-    """(a, b): links that join all sets which some leaf holds together and whose sketches agree."""
+    """(a, b): links that join all sets which some leaf holds together and whose sketches agree. What waits to be compared on all
+    levels goes through one shuffle."""
     level = signed.select(F.explode(F.array_distinct("keys")).alias("k"), "id", "n", "sketch")
-    found, pairs = [], (pa.int64(), pa.int64())
+    found, waiting, pairs = [], [], (pa.int64(), pa.int64())
     for depth in range(LEVELS):
         big = stored(level.groupBy("k").count().where(F.col("count") > LEAF), "buckets")
         some = small(big)
-        found.append(by_key(level.join(some, "k", "left_anti"), sketch_links, "a long, b long", pairs))
+        waiting.append(meeting(level.join(some, "k", "left_anti"), 3 * depth))
         inside = stored(level.join(some, "k").select("k", "count", "id", "n", "sketch"), "inside")
         if not inside.limit(1).count():
             break
-        links, inside = dense_links(inside, pairs)
+        links, more, inside = dense_links(inside, pairs, 3 * depth + 1)
         found.append(links)
+        waiting.append(more)
         if depth == LEVELS - 1:
             # large and of many parts to the last: all blocks against each other
             blocks = inside.withColumn("m", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
             other = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            dealt = other.select("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "n", "sketch")
-            found.append(by_key(dealt, sketch_links, "a long, b long", pairs, keys=3))
+            waiting.append(meeting(other, 3 * depth + 2, F.least("i", "j"), F.greatest("i", "j")))
             break
         # one sampled shingle a set: the coordinate of the sketch is the same for all sets of a bucket
         at = F.pmod(F.xxhash64("k", F.lit(depth)), F.lit(SKETCH)).cast("int")
         level = inside.select(F.xxhash64("k", F.lit(depth), F.substring("sketch", at + 1, F.lit(1))).alias("k"), "id", "n", "sketch")
-    return stored(reduce(lambda a, b: a.unionAll(b), found).distinct(), "links")
+    compared = by_key(reduce(lambda a, b: a.unionAll(b), waiting), sketch_links, "a long, b long", pairs, keys=4)
+    return stored(reduce(lambda a, b: a.unionAll(b), found, compared).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,7 +209,61 @@ def components(links: DataFrame) -> DataFrame:
         small_ = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         before = now
         edges, now = observed(small_, "edges", *seen())
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
+    return with_roots(edges)
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the links a, b, ascending, and the smallest id that each is connected with."""
+    ids, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(ids))
+    while len(x):
+        p, q = label[x], label[y]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))  # a root goes to a smaller one
+        while not np.array_equal(label, after := label[label]):
+            label = after
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return ids, ids[label]
+
+
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """The links (u, v) as stars (u: id, v: smallest id) of what PORTION of them connect at a time, in so many tasks at most."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def stars() -> pa.RecordBatch:
+            ids, root = roots(*(np.concatenate([np.empty(0, np.int64), *(h.column(i).to_numpy() for h in held)]) for i in (0, 1)))
+            out = np.flatnonzero(ids != root)
+            return pa.record_batch([pa.array(ids[out]), pa.array(root[out])], ["u", "v"])
+
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                held.append(batch.slice(lo, PORTION - size))
+                lo, size = lo + held[-1].num_rows, size + held[-1].num_rows
+                if size == PORTION:
+                    yield stars()
+                    held, size = [], 0
+        yield stars()
+
+    return links.coalesce(tasks).mapInArrow(contract, "u long, v long")
+
+
+def classes_of(links: DataFrame) -> DataFrame:
+    """``components`` of stored links. Tasks first contract PORTION links at a time, wherever they lie; that is all for links that fit one
+    portion, and only what several portions leave is joined in rounds."""
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    tasks = math.ceil(links.count() / PORTION)
+    if tasks > 1:
+        return components(contracted(links, tasks).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return with_roots(stored(contracted(links, 1), "stars"))
+
+
+def with_roots(stars: DataFrame) -> DataFrame:
+    """(id, class) of the stars (u, v)."""
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(stars.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
 
 
 def verified(group: list[tuple]) -> list[tuple]:
@@ -254,8 +319,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = math.ceil(math.log(1 - recall) / math.log(1 - 0.63 * SIMILARITY ** (LEVELS - 1)))
     copied = member.where("id <> rep").select("id")
     signed = stored(signatures(texts, runs).join(small(copied), "id", "left_anti").dropDuplicates(["id"]), "signed")
-    found = exact_links(texts.dropDuplicates(["id"]) if has_repeats(member) else texts, components(candidate_links(signed)))
-    classes = components(found.where("class is not null").select(F.col("id").alias("a"), F.col("class").alias("b")))
+    found = exact_links(texts.dropDuplicates(["id"]) if has_repeats(member) else texts, classes_of(candidate_links(signed)))
+    classes = classes_of(found.where("class is not null").select(F.col("id").alias("a"), F.col("class").alias("b")))
     links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     reps = links.join(classes, "id", "full").select("id", "links", "class")
     per_rep = member.groupBy("rep").agg(F.count("*").alias("rows")).join(reps, F.col("rep") == F.col("id")).select(F.col("rep").alias("key"), F.struct("links", "class").alias("value"), "rows")

@@ -528,3 +528,39 @@ def test_scores_do_not_depend_on_blocks_of_items(spark, words, monkeypatch):
     assert len(expected) >= 60 and got.keys() == expected.keys()
     assert all(np.allclose(got[k], v, rtol=1e-12) for k, v in expected.items())
     assert {r.doc_id for r in decontaminate.clean_documents(docs.limit(5), benchmark).collect()} == {r.doc_id for r in docs.limit(5).collect()} - {k[0] for k in expected}
+
+
+def test_links_are_contracted_in_tasks_before_any_round(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(300, 340)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)] + [(500, j) for j in range(480, 530)]
+    label = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    links = common.stored(spark.createDataFrame(pairs, "a long, b long"), "links")
+    written, real = [], common.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(name) or real(df, name))
+    assert dict(map(tuple, jaccard_join.classes_of(links).collect())) == label and len(written) == 1
+    assert jaccard_join.classes_of(links.where("a = b")).count() == 0
+    monkeypatch.setattr(jaccard_join, "PORTION", 7)
+    got = jaccard_join.classes_of(links).collect()
+    assert dict(map(tuple, got)) == label and len(got) == len(label)
+
+
+def test_leaves_of_all_levels_are_compared_in_one_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    common_words = [f"c{i}" for i in range(12)]
+    texts = [" ".join(common_words + [f"w{rng.randint(0, 400)}" for _ in range(8)]) for _ in range(120)]
+    texts += [texts[0] + f" x{i}" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [sum(a != b and len(x & y) >= 0.8 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    calls, real = [], jaccard_join.by_key
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "by_key", lambda rows, judge, *a, **k: calls.append(judge) or real(rows, judge, *a, **k))
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == links and max(links) >= 8
+    assert 2 <= calls.count(jaccard_join.sketch_links) <= jaccard_join.LEVELS + 1
