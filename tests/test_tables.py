@@ -4,8 +4,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from ketspark import oracles, registry
 from ketspark.functions import tables
 from ketspark.operators import encoders as enc
+from ketspark.operators import sampling
 from ketspark.sources import loaders
 
 
@@ -90,3 +92,18 @@ def test_footers_are_read_in_tasks(spark, tmp_path):
     assert len(groups) == 15 and sum(r.n_rows for r in groups) == 125 and loader.metadata().first().num_row_groups == 15
     batches = loader.row_group_batches().groupBy("batch_id").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).collect()
     assert len(batches) == 5 * (3 + 3 + 2) and all(r.b - r.a == r.n - 1 and r.a // 10 == r.b // 10 and r.n <= 4 for r in batches)
+
+
+@pytest.mark.parametrize("n", [90, 170, 350])
+def test_splits_are_cut_exactly(spark, tmp_path, n):
+    # in doubles n * 0.7 is less than the whole number it should be
+    import duckdb
+
+    rows = [(k, label) for k, label in enumerate("a" * n + "b" * 20)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.QUERIES["split_stratified"](spark, str(tmp_path)).select("o_orderkey", "o_orderpriority", "part").collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(oracles.ORACLE_SQL["split_stratified"]).fetchall())
+    one = sampling.split(spark.range(n), "id").groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in one} == {"train": n * 7 // 10, "val": n * 15 // 100, "test": n - n * 7 // 10 - n * 15 // 100}
