@@ -10,8 +10,8 @@ Plan: (1) count anchors with map-side combine; (2) put those found twice, and th
 two filters whose size has a fixed bound (false positives only cost time, because the groups
 compare real text); when there are more than ``FILTERED`` the filters would let too much through, and the documents learn by a
 shuffle on anchors instead which of theirs are repeated (``marked``); (3) ship the segments of repeated anchors to their groups. For anchors found
-more than ``HOT`` times a segment is cut into single windows, equal windows of one task are merged
-before the shuffle, and the groups are keyed by window, so that a key has at most one row a task.
+more than ``HOT`` times equal segments of one task are merged before the shuffle. Where only later windows go, these segments are
+cut into single windows instead, and the groups are keyed by window, so that a key has at most one row a task.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ketspark.llm.common import STRETCH, grams, join_spread, mix, portions, release, small_batches, stored
 
-#: An anchor found more often than this is handled window by window. Its segments would be a row for each place; cut into
-#: windows they are up to some hundred rows a task, but no more however often the anchor is found.
+#: Of an anchor found more often than this equal segments (or windows, where only later ones go) are merged in a task, as they would
+#: be a row for each place.
 HOT = 4096
 #: Bound of one filter, in bits (32 MB): what is broadcast does not grow with the corpus.
 MAX_BITS = 1 << 28
@@ -177,7 +177,8 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units_of = units()
-        local: dict[bytes, list] = {}  # window of a hot anchor -> key, first place, anchor, its bytes, more than one place
+        local: dict[bytes, list] = {}  # window of a hot anchor -> key, first place, anchor, its bytes, more than one place, kind
+        alike: dict[bytes, list] = {}  # segment of a hot anchor -> key, a place, starts, anchor, its bytes, its units, more than one place
         for batch in portions(batches, 1):
             rows: list[tuple] = []
             held = 0
@@ -205,6 +206,14 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
                         rows.append((key, id_, a, b, p - a, segment))
                         held += len(segment) + 100
                         continue
+                    if not first_only:
+                        segment, size = part(a, min(b + reach, len(own))), min(b + reach, len(own)) - a
+                        name = xxhash.xxh3_128_digest(segment) + (b - a).to_bytes(4, "little")
+                        old = alike.setdefault(name, [key, (id_, a), b - a + 1, p - a, segment, size, False])
+                        if old[1] != (id_, a):
+                            old[6] = True
+                            rows += decided(id_, a, b - a + 1, size)
+                        continue
                     for s, (kind, n) in itertools.product(range(a, b + 1), kinds):
                         if s + n > len(own):
                             continue
@@ -219,10 +228,27 @@ def candidates(docs: DataFrame, units: Units, length: int, k: int, first_only: b
                             old[1], old[4] = min(old[1], place), not first_only
                 rows += ((0, i, a, b, kind, None) for kind in gone for i, a, b in ranges(gone[kind]))
             yield batch_of(rows)
-            if len(local) > LOCAL:
+            if len(local) + len(alike) > LOCAL:
                 yield from merged(local)
+                yield from kept_once(alike)
                 local.clear()
+                alike.clear()
         yield from merged(local)
+        yield from kept_once(alike)
+
+    def decided(id_: int, s: int, starts: int, size: int) -> Iterator[tuple]:
+        """Rows by which all windows go of a segment that is found in two places."""
+        for kind, n in kinds:
+            if size >= n:
+                yield 0, id_, s, s + min(starts, size - n + 1) - 1, kind, None
+
+    def kept_once(alike: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        for own in itertools.batched(alike.values(), 10_000):
+            rows = []
+            for key, (id_, s), starts, off, segment, size, several in own:
+                rows.append((key, id_, s, s + starts - 1, off, segment))
+                rows += decided(id_, s, starts, size) if several else ()
+            yield batch_of(rows)
 
     def merged(local: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         rows = []

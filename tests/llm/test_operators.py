@@ -580,3 +580,43 @@ def test_suffixes_that_nobody_asks_for_take_no_memory():
     every = parse.repeats((400, 256), np.array([len(text)]))
     for f, length in zip(every, (400, 256), strict=True):
         assert np.flatnonzero(f).tolist() == [*range(501 - length), *range(300_000, 300_501 - length)]
+
+
+def frequent_passages(n, seed=4):
+    """Texts with one passage, each with words of its own around it, and copies of the first of them."""
+    rng = np.random.default_rng(seed)
+    own = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    passage = own(320)
+    texts = [own(300) + passage + own(300) for _ in range(n)]
+    return texts + texts[:1] * n
+
+
+def test_frequent_anchors_are_not_cut_into_windows(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", 5)
+    texts = frequent_passages(40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2).select("id", F.col("text").cast("binary").alias("data"))
+    rows = anchors.candidates(docs, suffix_dedup.byte_units, 256, 32, first_only=False, reach=400)
+    sent = rows.where("data is not null").agg(F.sum(F.length("data")), F.count("*")).first()
+    # each text has some three segments around its passage; cut into windows they were over 100 times as long
+    assert sent[0] < 6 * sum(map(len, texts)) and sent[1] < 8 * len(texts)
+    found = suffix_dedup.remove_strings(docs.select(F.col("id").alias("doc_id"), F.col("data").cast("string").alias("text")), out_col="found", report=256)
+    got = {r[0]: (r[1], r[2]) for r in found.select("doc_id", "found.n_removed", "found.n_shared").collect()}
+    where = Counter(t[s : s + 256] for t in texts for s in range(len(t) - 255))
+    for i, t in enumerate(texts):
+        shared = {p for s in range(len(t) - 255) if where[t[s : s + 256]] > 1 for p in range(s, s + 256)}
+        assert got[i] == (len(t) if t == texts[0] else 0, len(shared)), i
+    # the documents meet stored runs: text that went to the shards is on no disk by then
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("unit", [1, 4])
+def test_large_shards_are_compared_window_by_window(unit, monkeypatch):
+    texts = [t.encode() for t in frequent_passages(12)]
+    rows = []
+    for i, t in enumerate(texts):
+        at = len(t) // 2 - 16  # one place of all passages
+        first, last = at - 200, at
+        rows.append((i, first // unit, last // unit, (at - first) // unit, t[first : last + 400 - i % 3 * 100 // unit * unit]))
+    expected = sorted(suffix_dedup.shared_windows([rows], 400 // unit, 256 // unit, unit))
+    monkeypatch.setattr(suffix_dedup, "LARGE", 0)
+    assert sorted(suffix_dedup.shared_windows([rows], 400 // unit, 256 // unit, unit)) == expected and expected
